@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, mixing
+from . import chat, decontam, mixing, tokens
 
 QUERIES = {
     "op1_chat_collapse": chat.op1_chat_collapse,
+    "op2_token_output": tokens.op2_token_output,
+    "op3_decontaminate": decontam.op3_decontaminate,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 
