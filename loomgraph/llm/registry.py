@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, mixing, tokens
+from . import chat, decontam, mixing, tokens, toxicity
 
 QUERIES = {
     "op1_chat_collapse": chat.op1_chat_collapse,
     "op2_token_output": tokens.op2_token_output,
     "op3_decontaminate": decontam.op3_decontaminate,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 
