@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, mixing, tokens, toxicity
+from . import chat, decontam, mixing, neardup, tokens, toxicity
 
 QUERIES = {
     "op1_chat_collapse": chat.op1_chat_collapse,
     "op2_token_output": tokens.op2_token_output,
     "op3_decontaminate": decontam.op3_decontaminate,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_near_duplicates": neardup.op5_near_duplicates,
     "op9_mix_sources": mixing.op9_mix_sources,
 }
 
