@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, mixing, neardup, substring, suffixes, tokens, toxicity
+from . import chat, decontam, mixing, neardup, pii, substring, suffixes, tokens, toxicity
 
 QUERIES = {
     "op1_chat_collapse": chat.op1_chat_collapse,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontaminate": decontam.op3_decontaminate,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_near_duplicates": neardup.op5_near_duplicates,
+    "op6_pseudonyms": pii.op6_pseudonyms,
     "op7_substring_dedup": substring.op7_substring_dedup,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
