@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, mixing, neardup, pii, substring, suffixes, tokens, toxicity
+from . import chat, decontam, mixing, neardup, pii, search, substring, suffixes, tokens, toxicity
 
 QUERIES = {
     "op1_chat_collapse": chat.op1_chat_collapse,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_near_duplicates": neardup.op5_near_duplicates,
     "op6_pseudonyms": pii.op6_pseudonyms,
     "op7_substring_dedup": substring.op7_substring_dedup,
+    "op8_top_k": search.op8_top_k,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_suffix_dedup": suffixes.op10_suffix_dedup,
 }
