@@ -85,30 +85,51 @@ def take_thresholds(keyed: DataFrame, budgets: DataFrame) -> DataFrame:
     return edge.select("source", F.when(closer, F.col("cut") + 1).otherwise(F.col("cut")).alias("cut"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words the mix takes of a document), copies, and the columns of ``keep``.
+def mix_plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, rows: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Keyed documents (doc_id, source, size, h, with ``rows`` also row) and per source (source_size, target, full, cut).
 
-    A target of at most the source's size takes a subset; beyond it, every
-    document is taken once for each whole pass and a subset once more, so
-    ``taken`` is ``size`` times 0, 1, ... up to ceil(cap).
+    A document is taken ``full`` times, and once more if its h is below cut.
     """
     # 48 bits of MD5, which DuckDB computes alike.
     text = F.coalesce(F.col("text"), F.lit(""))
     ident = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text.cast("binary")))
     h = F.conv(F.substring(F.md5(ident.cast("binary")), 1, 12), 16, 10).cast("long")
-    keyed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), h.alias("h"), *[c for c in keep if c not in ("doc_id", "source")])
+    keyed = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), h.alias("h"), *([F.struct(*docs.columns).alias("row")] if rows else []))
     keyed = materialize(keyed, "mix-keyed")
     sizes = keyed.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialize(mix_targets(sizes, weights, share, cap), "mix-targets")
     full = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
     budgets = targets.withColumn("full", full).withColumn("budget", F.col("target") - F.col("full") * F.col("source_size"))
-    cuts = take_thresholds(keyed, budgets.filter("budget > 0").select("source", "budget"))
+    cuts = take_thresholds(keyed.select("source", "size", "h"), budgets.filter("budget > 0").select("source", "budget"))
     plan = budgets.alias("t").join(cuts.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left").select("t.*", F.coalesce("c.cut", F.lit(0)).alias("cut"))
-    plan = materialize(plan, "mix-plan")
-    copies = (F.col("p.full") + (F.col("k.h") < F.col("p.cut")).cast("long")).cast("long")
-    return keyed.alias("k").join(plan.alias("p"), F.col("k.source").eqNullSafe(F.col("p.source"))).select(
-        "k.doc_id", "k.source", "k.size", "p.source_size", "p.target", (F.col("k.size") * copies).alias("taken"), copies.alias("copies"), *[f"k.{c}" for c in keep if c not in ("doc_id", "source")]
-    )
+    return keyed, materialize(plan, "mix-plan")
+
+
+def _copies() -> F.Column:
+    return (F.col("p.full") + (F.col("k.h") < F.col("p.cut")).cast("long")).cast("long")
+
+
+def mix_sources(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (words the mix takes of a document), copies.
+
+    A target of at most the source's size takes a subset; beyond it, every
+    document is taken once for each whole pass and a subset once more, so
+    ``taken`` is ``size`` times 0, 1, ... up to ceil(cap).
+    """
+    keyed, plan = mix_plan(docs, rows=False, **how)
+    joined = keyed.alias("k").join(plan.alias("p"), F.col("k.source").eqNullSafe(F.col("p.source")))
+    return joined.select("k.doc_id", "k.source", "k.size", "p.source_size", "p.target", (F.col("k.size") * _copies()).alias("taken"), _copies().alias("copies"))
+
+
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it.
+
+    The join has a row per source on one side; texts aren't shuffled where that is small.
+    """
+    keyed, plan = mix_plan(docs, **how)
+    taken = keyed.alias("k").join(plan.alias("p"), F.col("k.source").eqNullSafe(F.col("p.source")))
+    rows = taken.select(F.col("k.row").alias("_row"), _copies().alias("_copies"))
+    return rows.filter("_copies > 0").select("_row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).select(*docs.columns)
 
 
 def op9_mix_sources(spark, sf_dir: str) -> DataFrame:
