@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,9 +42,16 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of finished stages that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete shuffle files of finished stages that nothing refers to any more.
+
+    Its cleaner works beside the driver's garbage collection; the wait lets the
+    files go before the next stage writes.  Under ``local`` there is no wait.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        if not spark.sparkContext.master.startswith("local["):
+            time.sleep(1)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

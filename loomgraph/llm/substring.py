@@ -6,7 +6,9 @@ minimiser travel as one packed string, a super-k-mer, to the bucket of that
 minimiser; equal windows have equal minimisers and meet there.  Each bucket
 sorts the hashes of its windows and finds those that occur more than once.
 
-Equal super-k-mers of a task travel once, with the list of their places, so a
+A first pass counts the minimisers alone.  A super-k-mer whose minimiser occurs
+nowhere else has no equal window and stays at home; the others travel.  Equal
+super-k-mers of a task travel once, with the list of their places, so a
 passage that a third of the rows share is one row for each map task and not
 one for each copy.  Buckets stream through a task group by group.
 
@@ -19,19 +21,19 @@ both go; windows are judged on the input; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import BASES, NOT_SPACE, cover, find_words, gram_hashes, group_blocks, list_column, sliding_min, spans_to_binary, text_chunks
+from .bytewords import BASES, NOT_SPACE, Chunk, cover, find_words, gram_hashes, group_blocks, list_column, sliding_min, spans_to_binary, text_chunks
 from .rows import NO_ID, keyed_texts, partitions
 from .storage import materialize, release
 
 WINDOW = 35
-GRAM = 4
+GRAM = 8
 U64 = np.uint64
 _PLACE_BITS = 32
 KMERS = "key long, packed binary, dids array<long>, tids array<int>, starts array<int>"
@@ -60,7 +62,7 @@ def one_space(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, inside: np
 
 
 def super_kmers(data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
-    """key, document, first word in it, number of windows, span in the joined bytes, and these bytes, of each super-k-mer of a chunk."""
+    """key, document, first word in it, span in the joined bytes, and these bytes, of each super-k-mer of a chunk."""
     w = find_words(data, offsets, NOT_SPACE)
     hashes = w.hashes()
     n = len(hashes) - window + 1
@@ -78,7 +80,7 @@ def super_kmers(data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
     run = np.cumsum(head & valid) - 1
     count = np.bincount(run[valid], minlength=len(heads))
     joined, a, b = one_space(w.data, w.starts, w.ends, NOT_SPACE[w.data])
-    return grams[least[heads]].view(np.int64), doc[heads], heads - w.first[doc[heads]], count, a[heads], b[heads + count + window - 2], joined, hashes
+    return grams[least[heads]].view(np.int64), doc[heads], heads - w.first[doc[heads]], a[heads], b[heads + count + window - 2], joined
 
 
 class Gatherer:
@@ -113,19 +115,42 @@ class Gatherer:
         return out
 
 
-def partition_windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """Super-k-mers with their places. texts: did, tid, text."""
+def places(texts: DataFrame, find: Callable) -> DataFrame:
+    """key, did, tid, start of every piece that ``find`` cuts from a chunk of texts."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Gatherer()
         for batch in batches:
             did, tid = batch.column("did").to_numpy(), batch.column("tid").to_numpy()
             for c in text_chunks(batch.column("text")):
-                if (found := super_kmers(c.data, c.offsets, window, gram)) is None:
+                if (found := find(c)) is not None:
+                    key, doc, start, _ = found
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(did[c.lo + doc]), pa.array(tid[c.lo + doc]), pa.array(start.astype(np.int32))], names=["key", "did", "tid", "start"])
+
+    return texts.mapInArrow(of, "key long, did long, tid int, start int")
+
+
+def meeting_places(found: DataFrame) -> DataFrame:
+    """did, tid, wanted: the starts of the pieces whose key another piece has; only these need to travel."""
+    several = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    return found.join(several, "key").groupBy("did", "tid").agg(F.collect_list("start").alias("wanted"))
+
+
+def ship(texts: DataFrame, find: Callable) -> DataFrame:
+    """The wanted pieces with their places, see KMERS. texts: did, tid, text, wanted."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Gatherer()
+        for batch in batches:
+            did, tid, wanted = batch.column("did").to_numpy(), batch.column("tid").to_numpy(), batch.column("wanted")
+            for c in text_chunks(batch.column("text")):
+                if (found := find(c)) is None:
                     continue
-                key, doc, first, _, a, b, joined, _ = found
-                whole = joined.tobytes()
-                held.add(key.tolist(), [whole[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], did[c.lo + doc].tolist(), tid[c.lo + doc].tolist(), first.tolist())
+                key, doc, start, pack = found
+                own = wanted.slice(c.lo, c.hi - c.lo)
+                asked = (np.repeat(np.arange(c.hi - c.lo), own.value_lengths().to_numpy()) << 32) | own.flatten().to_numpy()
+                at = np.flatnonzero(np.isin((doc << 32) | start, asked))
+                doc = doc[at]
+                held.add(key[at].tolist(), pack(at), did[c.lo + doc].tolist(), tid[c.lo + doc].tolist(), start[at].tolist())
                 if held.size > GATHER:
                     yield held.flush()
         if held.at:
@@ -134,6 +159,31 @@ def partition_windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
     return texts.mapInArrow(of, KMERS)
 
 
+def gather(docs: DataFrame, find: Callable, name: str) -> DataFrame:
+    """Pieces of all texts that may meet an equal one, with their places."""
+    texts = keyed_texts(docs)
+    wanted = materialize(meeting_places(places(texts, find)), f"{name}-wanted")
+    release(docs.sparkSession)
+    return ship(texts.join(wanted, ["did", "tid"]), find)
+
+
+def window_finder(window: int, gram: int) -> Callable:
+    """Cuts a chunk into super-k-mers: key, document, first word, and a function that packs some of them."""
+
+    def find(c: Chunk):
+        if (found := super_kmers(c.data, c.offsets, window, gram)) is None:
+            return None
+        key, doc, first, a, b, joined = found
+
+        def pack(at: np.ndarray) -> list[bytes]:
+            whole = joined.tobytes()
+            return [whole[x:y] for x, y in zip(a[at].tolist(), b[at].tolist(), strict=True)]
+
+        return key, doc, first, pack
+
+    return find
+
+
 def repeated(kmers: DataFrame, window: int, parts: int) -> DataFrame:
     """Word ranges [first, stop) of texts that are covered by windows that occur more than once."""
 
@@ -188,10 +238,9 @@ def ranges_by_text(ranges: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by one space) of every row."""
     spark = docs.sparkSession
-    texts = keyed_texts(docs)
-    ranges = materialize(repeated(partition_windows(texts, window, gram), window, partitions(docs, 16 << 20)), "repeat-ranges")
+    ranges = materialize(repeated(gather(docs, window_finder(window, gram), "repeat"), window, partitions(docs, 16 << 20)), "repeat-ranges")
     release(spark)  # the packed strings' shuffle files
-    joined = texts.join(ranges_by_text(ranges), ["did", "tid"], "left")
+    joined = keyed_texts(docs).join(ranges_by_text(ranges), ["did", "tid"], "left")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

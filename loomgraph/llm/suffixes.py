@@ -17,7 +17,8 @@ number of documents, not in the size of all text before it.
 
 Columns are read one after the other, from memory or, for collections beyond
 ``IN_MEMORY`` symbols, from a temporary file that is deleted when it is closed.
-Equal segments of a task travel once, with the list of their places.
+A first pass counts the anchors alone; a segment whose anchor occurs nowhere
+else stays at home.  Equal segments of a task travel once, with their places.
 
 Defined results: a null text has no bytes; texts shorter than a window lose
 nothing; repeated rows are copies of each other, so all windows of both go;
@@ -28,7 +29,7 @@ rows.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +37,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import cover, gram_hashes, group_blocks, spans_to_binary, text_chunks
+from .bytewords import Chunk, cover, gram_hashes, group_blocks, spans_to_binary, text_chunks
 from .rows import NO_ID, keyed_texts, partitions
 from .storage import materialize, release
-from .substring import GATHER, KMERS, RANGES, Gatherer, first_minimum, ranges_by_text
+from .substring import RANGES, first_minimum, gather, ranges_by_text
 
 WINDOW = 400
 GRAM = 16
@@ -67,26 +68,21 @@ def segments(data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
     return grams[least[heads]].view(np.int64), doc, heads - offsets[doc], least[heads] - heads, heads, heads + count + window - 1
 
 
-def partition_segments(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """Segments with their places: two bytes of the anchor's place in it, then its bytes. texts: did, tid, text."""
+def segment_finder(window: int, gram: int) -> Callable:
+    """Cuts a chunk into segments: key, document, first byte, and a function that packs some: two bytes of the anchor's place, then the segment."""
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Gatherer()
-        for batch in batches:
-            did, tid = batch.column("did").to_numpy(), batch.column("tid").to_numpy()
-            for c in text_chunks(batch.column("text")):
-                if (found := segments(c.data, c.offsets, window, gram)) is None:
-                    continue
-                key, doc, first, anchor, a, b = found
-                whole = c.data.tobytes()
-                packed = [x.to_bytes(2, "little") + whole[y:z] for x, y, z in zip(anchor.tolist(), a.tolist(), b.tolist(), strict=True)]
-                held.add(key.tolist(), packed, did[c.lo + doc].tolist(), tid[c.lo + doc].tolist(), first.tolist())
-                if held.size > GATHER:
-                    yield held.flush()
-        if held.at:
-            yield held.flush()
+    def find(c: Chunk):
+        if (found := segments(c.data, c.offsets, window, gram)) is None:
+            return None
+        key, doc, first, anchor, a, b = found
+
+        def pack(at: np.ndarray) -> list[bytes]:
+            whole = c.data.tobytes()
+            return [x.to_bytes(2, "little") + whole[y:z] for x, y, z in zip(anchor[at].tolist(), a[at].tolist(), b[at].tolist(), strict=True)]
+
+        return key, doc, first, pack
 
-    return texts.mapInArrow(of, KMERS)
+    return find
 
 
 def columns(data: np.ndarray, starts: np.ndarray, first: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
@@ -196,10 +192,9 @@ def repeated(kmers: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) of every row."""
     spark = docs.sparkSession
-    texts = keyed_texts(docs)
-    ranges = materialize(repeated(partition_segments(texts, window, gram), window, gram, partitions(docs, 16 << 20)), "byte-ranges")
+    ranges = materialize(repeated(gather(docs, segment_finder(window, gram), "bytes"), window, gram, partitions(docs, 16 << 20)), "byte-ranges")
     release(spark)  # the segments' shuffle files
-    joined = texts.join(ranges_by_text(ranges), ["did", "tid"], "left")
+    joined = keyed_texts(docs).join(ranges_by_text(ranges), ["did", "tid"], "left")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from loomgraph.llm import suffixes
+from loomgraph.llm import substring, suffixes
 
 from .fixtures import documents, frame, prose, write_tables
 
@@ -41,7 +41,7 @@ def test_query_equals_brute_force(spark, tmp_path):
 
 
 def test_small_windows_and_files(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "GATHER", 3000)
+    monkeypatch.setattr(substring, "GATHER", 3000)
     monkeypatch.setattr(suffixes, "IN_MEMORY", 100)
     rows = case()
     got = suffixes.remove_repeats(frame(spark, rows), window=40, gram=5).collect()
