@@ -66,7 +66,7 @@ def common_types(tables: Sequence[DataFrame], names: Iterable[str]) -> dict[str,
 def first_edges(graph: PropertyGraph, types: Iterable[str], direction: str, props: Iterable[str] | None, labels=(None, None), keep=None, every: bool = False, starts: DataFrame | None = None) -> DataFrame:
     """s, t, e: for each pair its first edge, by types as listed, outgoing ones first, then by seq.
 
-    e has type, src, dst and the properties of ``props`` (None: all). keep: a
+    e has _type, _src, _dst and the properties of ``props`` (None: all). keep: a
     function of (edge table) to a condition on edges. every: a row per edge.
     """
     names = edge_types(graph, types, labels, direction)
@@ -76,7 +76,7 @@ def first_edges(graph: PropertyGraph, types: Iterable[str], direction: str, prop
     parts = []
     for i, (name, table) in enumerate(zip(names, tables, strict=True)):
         rows = table if keep is None else table.filter(keep(table))
-        fields = [F.lit(name).alias("type"), "src", "dst", *[(F.col(c) if c in table.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()]]
+        fields = [F.lit(name).alias("_type"), F.col("src").alias("_src"), F.col("dst").alias("_dst"), *[(F.col(c) if c in table.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()]]
         sides = [rows.select(F.col(a).alias("s"), F.col(b).alias("t"), F.struct(*fields).alias("e"), F.struct(F.lit(side).alias("side"), "seq").alias("o")) for side, a, b in _sides(direction)]
         if starts is not None:
             sides = [x.join(starts, "s", "left_semi") for x in sides]
@@ -87,7 +87,7 @@ def first_edges(graph: PropertyGraph, types: Iterable[str], direction: str, prop
             own = own.groupBy("s", "t").agg(F.min_by("e", "o").alias("e"))
         parts.append(own.withColumn("rank", F.lit(i)))
     if not parts:
-        return graph.spark.createDataFrame([], f"{PAIR}, e struct<type: string, src: bigint, dst: bigint>")
+        return graph.spark.createDataFrame([], f"{PAIR}, e struct<_type: string, _src: bigint, _dst: bigint>")
     out = reduce(DataFrame.unionByName, parts)
     if len(parts) > 1 and not every:
         out = out.groupBy("s", "t").agg(F.min_by("e", "rank").alias("e"))

@@ -390,7 +390,7 @@ class Compiler:
         s, t = self.name(), self.name()
         columns = [F.col("s").alias(s), F.col("t").alias(t)]
         if edge is not None and rel.var:
-            columns += [F.col(f"e.`{f}`").alias(f"{rel.var}__{f}" if f in ("type", "src", "dst") else f"{rel.var}__p_{f}") for f in edge.names]
+            columns += [F.col(f"e.`{f}`").alias(f"{rel.var}_{f}" if f in ("_type", "_src", "_dst") else f"{rel.var}__p_{f}") for f in edge.names]
         elif rel.variable and rel.var:
             columns.append(F.col("path").alias(f"{rel.var}__val"))
         hops = hops.select(*columns)
@@ -401,7 +401,7 @@ class Compiler:
             rows = self.scan(b, pattern, None if pattern.labels or rel.variable else self.ends(rel.types, direction)[1])
             self.df = self.df.join(hops, F.col(f"{a}__id") == F.col(s)).join(rows, F.col(t) == F.col(f"{b}__id")).drop(s, t)
         if rel.var:
-            self.scope[rel.var] = Scalar(T.StringType()) if rel.variable else Edge(tuple(paths.edge_types(self.graph, rel.types)), {f.name: f.dataType for f in edge.fields if f.name not in ("type", "src", "dst")})
+            self.scope[rel.var] = Scalar(T.StringType()) if rel.variable else Edge(tuple(paths.edge_types(self.graph, rel.types)), {f.name: f.dataType for f in edge.fields if f.name not in ("_type", "_src", "_dst")})
 
     # Clauses
 
@@ -581,7 +581,7 @@ class Compiler:
             return (F.array_distinct(every) if x.distinct else every), T.ArrayType(v.dtype)
         if name in ("sum", "avg"):
             if v.kind != "num":
-                return (F.sum(F.lit(0)) * 0, T.LongType()) if name == "sum" else (F.avg(F.lit(None).cast("double")), T.DoubleType())
+                return (F.coalesce(F.sum(F.lit(0)), F.lit(0)).cast("long"), T.LongType()) if name == "sum" else (F.avg(F.lit(None).cast("double")), T.DoubleType())
             whole = isinstance(v.dtype, T.IntegralType)
             col = v.col.cast("long" if whole else "double")
             return (F.coalesce(F.sum(col), F.lit(0).cast("long" if whole else "double")), T.LongType() if whole else T.DoubleType()) if name == "sum" else (F.avg(col), T.DoubleType())

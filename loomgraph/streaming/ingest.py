@@ -46,7 +46,9 @@ def _parsed(rows: DataFrame, fields: T.StructType) -> tuple[DataFrame, dict[str,
 
 def apply_batch(graph: PropertyGraph, records: DataFrame) -> tuple[PropertyGraph, DataFrame]:
     """The graph after the records, and the rejected ones with a reason."""
-    records = records.select("seq", "attributes", "body").withColumn("reason", reason(graph))
+    records = cut_lineage(records.select("seq", "attributes", "body").withColumn("reason", reason(graph)), "records")
+    # Names of the schema that the batch uses.
+    kinds = {r[0] for r in records.filter("reason is null").select(F.when(attribute("op") == "NODE", attribute("label")).otherwise(attribute("edge"))).distinct().collect()}
     bad = [records.filter("reason is not null")]
     good = records.filter("reason is null").drop("reason")
     nodes = good.filter(attribute("op") == "NODE").withColumns({"label": attribute("label"), "key": attribute("key")})
@@ -56,8 +58,8 @@ def apply_batch(graph: PropertyGraph, records: DataFrame) -> tuple[PropertyGraph
     nodes = nodes.join(firsts, "key").join(held, "key", "left").withColumn("owner", F.coalesce("held", "first"))
     wrong = F.col("label") != F.col("owner")
     bad.append(nodes.filter(wrong).select("seq", "attributes", "body", F.lit("the key belongs to a node of another type").alias("reason")))
-    nodes = nodes.filter(~wrong)
-    for label in graph.schema.nodes:
+    nodes = cut_lineage(nodes.filter(~wrong), "nodes")
+    for label in (n for n in graph.schema.nodes if n in kinds):
         fields = T.StructType([f for f in graph.nodes[label].schema if f.name not in ("id", "key")])
         rows, absent = _parsed(nodes.filter(F.col("label") == label), fields)
         rows = rows.select("key", "seq", *[f.name for f in fields], *[f"_no_{f.name}" for f in fields])
@@ -65,7 +67,7 @@ def apply_batch(graph: PropertyGraph, records: DataFrame) -> tuple[PropertyGraph
     edges = good.filter(attribute("op") == "EDGE").withColumns({"edge": attribute("edge"), "from_key": attribute("from"), "to_key": attribute("to")})
     # Nodes that this batch makes exist from their first record on.
     new = firsts.join(held, "key", "left_anti").select("key", "born")
-    for name, e in graph.schema.edges.items():
+    for name, e in ((n, e) for n, e in graph.schema.edges.items() if n in kinds):
         fields = T.StructType([f for f in graph.edges[name].schema if f.name not in ("src", "dst", "seq")])
         rows, _ = _parsed(edges.filter(F.col("edge") == name), fields)
         found, lost = graph.checked_edges(name, rows)
