@@ -186,7 +186,8 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without the contaminated ones."""
     from .rows import did, tid
 
-    bad = find_contamination(docs, benchmark).filter("contaminated").select("did", "tid").distinct()
+    # Written out, so that its size is known and few of them are sent to the texts, not the texts to them.
+    bad = materialize(find_contamination(docs, benchmark).filter("contaminated").select("did", "tid").distinct(), "leaks")
     return docs.withColumns({"_did": did(), "_tid": tid()}).join(bad, (F.col("_did") == F.col("did")) & (F.col("_tid") == F.col("tid")), "left_anti").drop("_did", "_tid")
 
 
