@@ -10,9 +10,9 @@ other; leaves with more than ``SMALL`` members are compared with one pivot, and
 branched on unless all members are already known to be connected.
 
 Sketches drop pairs that are far below the threshold; every link is confirmed
-on full sets.  Links are confirmed in stars first, and what lies inside one
-component by then needs no more tests, so a group of n near copies costs about
-n confirmations and not n squared.
+on full sets.  A task holds the sets of a block of first ends and streams the
+second ends past it, so a set travels once for each block that asks for it and
+not for each pair.  What lies inside one component needs no more tests.
 
 With six trees of depth three that take 2, 2 and 1 branches, a pair of
 similarity 0.8 shares no leaf with probability (1 - 0.907)**6, below 1e-6.
@@ -40,14 +40,16 @@ from .storage import materialize, release
 COORDS = 64
 TREES = 6
 PICKS = (2, 2, 1)
-#: Picks of a further descent of large nodes.
+#: Picks of a further descent of large nodes; after ROUNDS of them comparison has no bound.
 DEEPER = (2, 1)
-SMALL = 64
-ROUNDS = 6
-#: Least equal coordinates of a pair worth confirming: five standard deviations below 0.8.
-NEAR = 32
-#: At this many a pair very likely is a link.
-CLOSE = 55
+SMALL = 128
+#: Members outside a large node's main component that are compared with all its members, a block of SMALL at a time.
+OUTSIDE = 2048
+ROUNDS = 2
+#: Least equal coordinates of a pair worth confirming: 4.7 standard deviations below 0.8.
+NEAR = 36
+#: Sets that a confirming task holds at once.
+HELD = 128
 U64 = np.uint64
 _SALTS = mix(np.arange(1, 4096, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _FACTORS = _SALTS[1000 : 1000 + COORDS] | U64(1)
@@ -69,6 +71,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     return np.concatenate(out) if out else np.zeros(0, dtype=U64), np.array([len(x) for x in out], dtype=np.int64)
 
 
+def _ascending(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Each set's values as signed numbers in ascending order."""
+    out = values.view(np.int64)
+    return out[np.lexsort((out, np.repeat(np.arange(len(counts)), counts)))]
+
+
 def set_ids(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """16 bytes for each set, the same for equal sets."""
     out = np.zeros((len(counts), 2), dtype=U64)
@@ -170,7 +178,10 @@ def compare_small(members: DataFrame) -> DataFrame:
 
 
 def compare_some(members: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Near pairs of each node's members with its chosen ones. chosen: node, others (array of v, sig), of bounded length."""
+    """Near pairs of each node's members with its chosen ones that aren't known to be connected.
+
+    members: node, v, sig, root; chosen: node, others (array of v, sig, root), of bounded length.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,11 +194,12 @@ def compare_some(members: DataFrame, chosen: DataFrame) -> DataFrame:
                 v, sig = _matrix(part.column("v"), 16), _matrix(part.column("sig"), COORDS)
                 w, other = _matrix(flat.field("v"), 16), _matrix(flat.field("sig"), COORDS)
                 est = (sig[row] == other).sum(1)
-                ok = np.flatnonzero((est >= NEAR) & (v[row] != w).any(1))
+                root, far = _matrix(part.column("root"), 16), _matrix(flat.field("root"), 16)
+                ok = np.flatnonzero((est >= NEAR) & (root[row] != far).any(1))
                 if len(ok):
                     yield _pairs(v[row[ok]], w[ok], est[ok])
 
-    return members.join(chosen, "node").select("v", "sig", "others").mapInArrow(of, PAIR)
+    return members.join(chosen, "node").select("v", "sig", "root", "others").mapInArrow(of, PAIR)
 
 
 def branch(members: DataFrame) -> DataFrame:
@@ -208,6 +220,7 @@ class Confirmer:
     def __init__(self, docs: DataFrame, vertices: DataFrame, width: int, percent: int):
         self.docs, self.vertices, self.width, self.percent = docs, vertices, width, percent
         self.links: DataFrame | None = None
+        self.tested: DataFrame | None = None
         self.roots: DataFrame | None = None
 
     def full_sets(self, pairs: DataFrame) -> DataFrame:
@@ -222,7 +235,7 @@ class Confirmer:
                 for c in text_chunks(batch.column("text")):
                     values, counts = shingle_sets(c.data, c.offsets, width)
                     ids = _binary(set_ids(values, counts))
-                    out = pa.RecordBatch.from_arrays([batch.column("v")[c.lo : c.hi], list_column(values.view(np.int64), counts, pa.int64()), ids], names=["v", "set", "own"])
+                    out = pa.RecordBatch.from_arrays([batch.column("v")[c.lo : c.hi], list_column(_ascending(values, counts), counts, pa.int64()), ids], names=["v", "set", "own"])
                     # Another text of the same doc_id may share the 32-bit text hash.
                     yield out.filter(pa.compute.equal(out.column("own"), out.column("v"))).select(["v", "set"])
 
@@ -230,13 +243,55 @@ class Confirmer:
 
     def confirm(self, pairs: DataFrame, sets: DataFrame) -> None:
         """Test pairs (a, b) and take the links among them."""
-        both = pairs.join(sets.select(F.col("v").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("v").alias("b"), F.col("set").alias("sb")), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        links = both.filter(100 * common >= self.percent * (F.size("sa") + F.size("sb") - common)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        known = links if self.links is None else self.links.unionByName(links)
-        self.links = materialize(known, "near-links")
+        homes = self.vertices.select(F.col("v").alias("a"), "home")
+        asked = pairs.select("a", "b").join(homes, "a")
+        sizes = asked.select("home", "a").distinct().groupBy("home").agg(F.count(F.lit(1)).alias("k"))
+        block = F.xxhash64("home", F.pmod(F.xxhash64("a"), F.ceil(F.col("k") / HELD)))
+        asked = materialize(asked.join(sizes, "home").select("a", "b", block.alias("block")), "near-blocks")
+        none = F.array().cast("array<binary>")
+        left = asked.select("block", F.col("a").alias("v")).distinct().join(sets, "v").select("block", F.lit(0).alias("kind"), "v", "set", none.alias("others"))
+        right = asked.groupBy("block", F.col("b").alias("v")).agg(F.collect_list("a").alias("others")).join(sets, "v").select("block", F.lit(1).alias("kind"), "v", "set", "others")
+        percent = self.percent
+
+        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            current, held = None, {}
+            for batch in batches:
+                block, kind, v = batch.column("block").to_numpy(), batch.column("kind").to_numpy(), batch.column("v").to_pylist()
+                offsets, values = batch.column("set").offsets.to_numpy(), batch.column("set").values.to_numpy()
+                others = batch.column("others").to_pylist()
+                us, vs = [], []
+                for i, own in enumerate(v):
+                    if block[i] != current:
+                        current, held = block[i], {}
+                    x = values[offsets[i] : offsets[i + 1]]
+                    if not kind[i]:
+                        held[own] = x.copy()
+                        continue
+                    for other in others[i]:
+                        y = held[other]
+                        small, large = (x, y) if len(x) < len(y) else (y, x)
+                        if 100 * len(small) < percent * len(large):
+                            continue
+                        at = np.searchsorted(large, small)
+                        at[at == len(large)] = 0
+                        common = int((large[at] == small).sum())
+                        if 100 * common >= percent * (len(x) + len(y) - common):
+                            us.append(other)
+                            vs.append(own)
+                yield pa.RecordBatch.from_arrays([pa.array(us, type=pa.binary()), pa.array(vs, type=pa.binary())], names=["u", "v"])
+
+        links = left.unionByName(right).repartition("block").sortWithinPartitions("block", "kind").mapInArrow(of, "u binary, v binary")
+        self.links = materialize(links if self.links is None else self.links.unionByName(links), "near-links")
+        ends = pairs.select("a", "b")
+        self.tested = ends if self.tested is None else self.tested.unionByName(ends)
         self.roots = connected_components(self.links)
 
+    def rooted(self, rows: DataFrame) -> DataFrame:
+        """rows (v, ...) with the root of each vertex's component so far."""
+        if self.roots is None:
+            return rows.withColumn("root", F.col("v"))
+        return rows.join(self.roots.withColumnRenamed("u", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+
     def apart(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose ends aren't known to be connected."""
         if self.roots is None:
@@ -246,22 +301,11 @@ class Confirmer:
 
     def settle(self, pairs: DataFrame) -> None:
         """Test pairs until each is a link, no link, or inside a component."""
-        pairs = materialize(self.apart(pairs.groupBy("a", "b").agg(F.max("est").alias("est"))), "near-pairs")
-        left = pairs.count()
-        if not left:
-            return
-        sets = self.full_sets(pairs)
-        vertices = sets.count()
-        while left > 2 * vertices:
-            # One pair for each vertex: the least partner among the close ones, else the closest.
-            best = F.max_by("a", F.struct(F.least("est", F.lit(CLOSE)), F.xxhash64("a")))
-            star = materialize(pairs.groupBy("b").agg(best.alias("a")).select("a", "b"), "near-star")
-            self.confirm(star, sets)
-            pairs = materialize(self.apart(pairs.join(star, ["a", "b"], "left_anti")), "near-pairs")
-            left = pairs.count()
+        pairs = self.apart(pairs.groupBy("a", "b").agg(F.max("est").alias("est")))
+        pairs = materialize(pairs if self.tested is None else pairs.join(self.tested, ["a", "b"], "left_anti"), "near-pairs")
+        if not pairs.isEmpty():
+            self.confirm(pairs, self.full_sets(pairs))
             release(pairs.sparkSession)
-        if left:
-            self.confirm(pairs.select("a", "b"), sets)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -269,31 +313,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rows = materialize(sketch(docs, width), "near-sketch")
     vertices = rows.filter("n > 0").groupBy("v").agg(F.min(F.struct("did", "tid")).alias("m"), F.first("sig").alias("sig"), F.first("nodes").alias("nodes"), F.min(F.when(F.col("did") != NO_ID, F.col("did"))).alias("least"))
     vertices = materialize(vertices.select("v", "m.did", "m.tid", "least", "sig", "nodes"), "near-vertices")
-    confirmer = Confirmer(docs, vertices.select("v", "did", "tid"), width, percent)
+    confirmer = Confirmer(docs, vertices.select("v", "did", "tid", F.array_min("nodes").alias("home")), width, percent)
     dealt = vertices.select("v", F.explode(F.array_distinct("nodes")).alias("node"))
     sigs = vertices.select("v", "sig")
     for depth in range(ROUNDS + 1):
         sizes = dealt.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        members = materialize(dealt.join(sizes, "node").select("node", "v", "size").join(sigs, "v"), "near-members")
+        members = dealt.join(sizes, "node").select("node", "v", "size").join(sigs, "v")
+        members = materialize(confirmer.rooted(members), "near-members")
         small, big = members.filter(F.col("size") <= SMALL), members.filter(F.col("size") > SMALL)
         # A pivot for each large node, another one in each.
-        pivots = big.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "v"), "v", "sig")).alias("p")).select("node", F.array(F.struct("p.v", "p.sig")).alias("others"))
+        pivots = big.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "v"), "v", "sig", "root")).alias("p")).select("node", F.array(F.struct("p.v", "p.sig", "p.root")).alias("others"))
         confirmer.settle(compare_small(small.select("node", "v", "sig")).unionByName(compare_some(big, pivots)))
-        roots = confirmer.roots
         if big.isEmpty():
             break
         # Large nodes that aren't in one component yet.
-        known = big.drop("size") if roots is None else big.drop("size").join(roots.withColumnRenamed("u", "v"), "v", "left")
-        known = known.withColumn("root", F.coalesce("root", "v") if roots is not None else F.col("v"))
+        known = confirmer.rooted(big.drop("size", "root"))
         parts = known.groupBy("node", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("node").agg(F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("all"))
         parts = parts.select("node", F.col("top.root").alias("main"), (F.col("all") - F.col("top.k")).alias("rest")).filter("rest > 0")
         known = materialize(known.join(parts, "node"), "near-open")
-        # Few outside the node's main component, or the last round: compare those with all, a block of them at a time.
-        few = known if depth == ROUNDS else known.filter(F.col("rest") <= SMALL)
+        few = known if depth == ROUNDS else known.filter(F.col("rest") <= OUTSIDE)
         outside = few.filter("root <> main").withColumn("block", F.pmod(F.xxhash64("v"), F.ceil(F.col("rest") / SMALL)))
-        blocks = outside.groupBy("node", "block").agg(F.collect_list(F.struct("v", "sig")).alias("others")).drop("block")
+        blocks = outside.groupBy("node", "block").agg(F.collect_list(F.struct("v", "sig", "root")).alias("others")).drop("block")
         confirmer.settle(compare_some(few, blocks))
-        rest = known.filter(F.col("rest") > SMALL)
+        rest = known.filter(F.col("rest") > OUTSIDE)
         if depth == ROUNDS or rest.isEmpty():
             break
         dealt = materialize(branch(rest).select("v", F.explode(F.array_distinct("nodes")).alias("node")).distinct(), "near-dealt")

@@ -66,6 +66,8 @@ def test_equals_brute_force(spark, tmp_path):
 def test_large_nodes(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL", 8)
     monkeypatch.setattr(neardup, "ROUNDS", 1)
+    monkeypatch.setattr(neardup, "OUTSIDE", 3)
+    monkeypatch.setattr(neardup, "HELD", 5)
     rng = random.Random(8)
     rows = near_copies(rng, 24, words=80, edits=4)
     got = neardup.near_duplicates(frame(spark, rows), 4).collect()
