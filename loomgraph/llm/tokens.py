@@ -19,6 +19,8 @@ empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import sys
+import types
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -35,6 +37,7 @@ from .storage import new_path
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
+MARKS = frozenset(",.;:!?")
 #: Pieces that a worker keeps; beyond them pieces are encoded anew each time.
 TABLE_SIZE = 600_000
 ROW_GROUP_BYTES = 32 << 20
@@ -75,7 +78,11 @@ def odd_spacing(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder(dict):
-    """Piece after a space to its ids as little-endian 32-bit integers."""
+    """Piece after a space to its ids as little-endian 32-bit integers.
+
+    A key that begins with a line feed follows a character that isn't white
+    space, not a space.
+    """
 
     def __init__(self, vocabulary: str, end: int = END_ID):
         from tokenizers import Tokenizer
@@ -89,7 +96,14 @@ class Encoder(dict):
         return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.whole(" " + piece)
+        # Pre-tokens also begin at a single line feed, after it, and at one mark after a letter.
+        cut = piece.rfind("\n")
+        if 0 < cut < len(piece) - 1 and not piece[cut - 1].isspace() and not piece[cut + 1].isspace():
+            ids = self[piece[:cut]] + self[piece[cut:]]
+        elif len(piece) > 1 and piece[-1] in MARKS and piece[-2].isalpha():
+            ids = self[piece[:-1]] + self.whole(piece[-1])
+        else:
+            ids = self.whole(piece if cut == 0 else " " + piece)
         if len(self) < TABLE_SIZE:
             self[piece] = ids
         return ids
@@ -101,6 +115,15 @@ class Encoder(dict):
         return b"".join([self.whole(pieces[0]), *map(self.__getitem__, pieces[1:]), self.end])
 
 
+def worker_encoder(vocabulary: str, end: int) -> Encoder:
+    """The encoder of this Python worker, which later tasks find with its pieces."""
+    state = sys.modules.setdefault("loomgraph_worker_state", types.ModuleType("loomgraph_worker_state"))
+    key = zlib.crc32(vocabulary.encode()), len(vocabulary), end
+    if getattr(state, "key", None) != key:
+        state.key, state.encoder = key, Encoder(vocabulary, end)
+    return state.encoder
+
+
 def encode_column(column: pa.Array, encoder: Encoder) -> Iterator[tuple[int, list[bytes]]]:
     """For each chunk of texts, its first row and the ids of each text."""
     for chunk in text_chunks(column):
@@ -117,7 +140,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = END_ID)
     ordered = keyed_texts(docs).repartitionByRange(n, "did", "tid").sortWithinPartitions("did", "tid")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, start = Encoder(shipped.value, end), TaskContext.get().partitionId(), 0
+        encoder, part, start = worker_encoder(shipped.value, end), TaskContext.get().partitionId(), 0
         for batch in batches:
             dids = batch.column("did").to_numpy()
             for lo, found in encode_column(batch.column("text"), encoder):
