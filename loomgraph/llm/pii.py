@@ -13,7 +13,9 @@ Kinds: card (Luhn, 13 to 19 digits), ssn, phone, ipv4, iban, date (1900 to
 
 Defined results: a null text stays null, an empty one empty; values that fail
 their check are left; of overlapping finds the first kind of PATTERN at the
-leftmost place counts; repeated rows have equal results; other columns stay.
+leftmost place counts; where a card or IBAN with the groups after it fails, its
+shorter beginnings at a separator are tried, and the search goes on behind what
+was accepted; repeated rows have equal results; other columns stay.
 """
 
 from __future__ import annotations
@@ -41,6 +43,12 @@ PATTERN = re.compile(
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)|(?<![\w.+-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-]))"
 )
+#: Characters of each country's IBAN.
+IBAN_SIZES = {
+    country: int(size)
+    for size, countries in (x.split(":") for x in "15:NO,16:BE,18:DK FI FO GL NL,19:MK SI,20:AT BA EE KZ LT LU XK,21:CH HR LI LV,22:BG BH CR DE GB GE IE ME RS VA,23:AE GI IL IQ TL,24:AD CZ ES MD PK RO SA SE SK TN VG,25:LY PT ST,26:IS TR,27:FR GR IT MC MR SM,28:AL AZ BY CY DO GT HU LB PL SV,29:BR EG PS QA UA,30:JO KW MU,31:MT SC,32:LC".split(","))
+    for country in countries.split()
+}
 FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 DAYS = datetime.date(2099, 12, 31).toordinal() - FIRST_DAY + 1
 
@@ -90,6 +98,14 @@ def iban_check(country: str, rest: str) -> int:
     return 98 - int(digits) % 97
 
 
+def beginnings(form: str) -> Iterator[str]:
+    """``form`` and its beginnings that end before a separator, the longest first."""
+    yield form
+    for i in reversed(range(len(form))):
+        if form[i] in " -":
+            yield form[:i]
+
+
 def put(form: str, symbols: str, where) -> str:
     """``form`` with the characters that ``where`` accepts replaced in order."""
     it = iter(symbols)
@@ -127,9 +143,14 @@ class Pseudonyms:
         return "".join(reversed(out)) + at + host
 
     def iban(self, m) -> str | None:
-        plain = m["iban"].replace(" ", "")
+        # The beginning of the country's length counts before others.
+        forms = sorted(beginnings(m["iban"]), key=lambda f: len(f.replace(" ", "")) != IBAN_SIZES.get(f[:2]))
+        return next((new for f in forms if (new := self._iban(f))), None)
+
+    def _iban(self, form: str) -> str | None:
+        plain = form.replace(" ", "")
         country, check, rest = plain[:2], plain[2:4], plain[4:]
-        if len(plain) > 34 or int(check) != iban_check(country, rest):
+        if not 15 <= len(plain) <= 34 or int(check) != iban_check(country, rest):
             return None
         x = size = 0
         size = 1
@@ -142,7 +163,7 @@ class Pseudonyms:
             x, k = divmod(x, n)
             out.append(str(k) if n == 10 else chr(65 + k))
         rest = "".join(reversed(out))
-        return put(m["iban"], f"{country}{iban_check(country, rest):02d}{rest}", str.isalnum)
+        return put(form, f"{country}{iban_check(country, rest):02d}{rest}", str.isalnum)
 
     def date(self, m) -> str | None:
         if m["y1"]:
@@ -195,25 +216,31 @@ class Pseudonyms:
         return head + put(rest, self.digits("phone", digits), str.isdigit)
 
     def card(self, m) -> str | None:
-        digits = re.sub(r"\D", "", m["card"])
-        if luhn_digit(digits[:-1]) != int(digits[-1]) or not int(digits):
+        return next((new for f in beginnings(m["card"]) if (new := self._card(f))), None)
+
+    def _card(self, form: str) -> str | None:
+        digits = re.sub(r"\D", "", form)
+        if len(digits) < 13 or luhn_digit(digits[:-1]) != int(digits[-1]) or not int(digits):
             return None
         body = self.digits("card", digits[:-1])
-        return put(m["card"], body + str(luhn_digit(body)), str.isdigit)
+        return put(form, body + str(luhn_digit(body)), str.isdigit)
 
     def replace(self, text: str) -> tuple[str, list[str]]:
         """The text with pseudonyms, and the kinds found in order."""
         found: list[str] = []
-
-        def one(m) -> str:
+        parts: list[str] = []
+        done = at = 0
+        while m := PATTERN.search(text, at):
             kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if m[k] is not None)
             new = getattr(self, kind)(m)
             if new is None:
-                return m[0]
+                at = m.start() + 1
+                continue
             found.append(kind)
-            return new
-
-        return PATTERN.sub(one, text), found
+            parts += text[done : m.start()], new
+            # Cards and IBANs keep their length, and may be a beginning of the match.
+            done = at = m.start() + len(new) if kind in ("card", "iban") else m.end()
+        return "".join([*parts, text[done:]]), found
 
 
 def candidates(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
