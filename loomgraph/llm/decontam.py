@@ -140,11 +140,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = keyed_texts(docs)
     blocks = [spark.sparkContext.broadcast(x) for x in benchmark_blocks(benchmark)]
     if len(blocks) == 1:
-        return texts.mapInArrow(lambda batches: _whole(batches, blocks[0].value), f"did long, tid int, {OUT}")
+        return texts.mapInArrow(lambda batches: _whole(batches, blocks[0].value), f"did long, tid binary, {OUT}")
     # Several blocks: each gives its hits, a document's are united.
     parts = None
     for b in blocks:
-        part = materialize(texts.mapInArrow(lambda batches, b=b: _partial(batches, b.value), "did long, tid int, n_words long, hit array<int>, items array<string>"), "leak-hits")
+        part = materialize(texts.mapInArrow(lambda batches, b=b: _partial(batches, b.value), "did long, tid binary, n_words long, hit array<int>, items array<string>"), "leak-hits")
         parts = part if parts is None else parts.unionByName(part)
     copies = texts.groupBy("did", "tid").agg(F.count(F.lit(1)).alias("copies"))
     united = parts.groupBy("did", "tid").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))

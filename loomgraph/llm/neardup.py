@@ -146,7 +146,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                     names=["did", "tid", "n", "v", "sig", "nodes"],
                 )
 
-    return keyed_texts(docs).mapInArrow(of, "did long, tid int, n long, v binary, sig binary, nodes array<long>")
+    return keyed_texts(docs).mapInArrow(of, "did long, tid binary, n long, v binary, sig binary, nodes array<long>")
 
 
 PAIR = "a binary, b binary, est int"
@@ -236,7 +236,7 @@ class Confirmer:
                     values, counts = shingle_sets(c.data, c.offsets, width)
                     ids = _binary(set_ids(values, counts))
                     out = pa.RecordBatch.from_arrays([batch.column("v")[c.lo : c.hi], list_column(_ascending(values, counts), counts, pa.int64()), ids], names=["v", "set", "own"])
-                    # Another text of the same doc_id may share the 32-bit text hash.
+                    # Only texts that have the asked set.
                     yield out.filter(pa.compute.equal(out.column("own"), out.column("v"))).select(["v", "set"])
 
         return materialize(texts.mapInArrow(of, "v binary, set array<long>").dropDuplicates(["v"]), "near-sets")
@@ -352,16 +352,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs without those whose component has another representative."""
+    """The rows of docs without those whose component has another representative; rows without words all stay."""
     found = near_duplicates(docs, width, percent)
     # The representative's row; of repeated ones the first.
     own = F.when(F.col("did") != NO_ID, F.col("did")).eqNullSafe(F.col("component"))
-    kept = found.filter(own & (F.col("n") > 0)).groupBy("root").agg(F.min(F.struct("did", "tid")).alias("m")).select("m.did", "m.tid")
-    kept = kept.unionByName(found.filter("n = 0").select("did", "tid")).distinct()
-    kept = materialize(kept.select(F.col("did").alias("_kd"), F.col("tid").alias("_kt")), "near-kept")
+    kept = found.filter(own & (F.col("n") > 0)).groupBy("root").agg(F.min(F.struct("did", "tid")).alias("m")).select("m.did", "m.tid", F.lit(False).alias("_alone"))
+    kept = kept.unionByName(found.filter("n = 0").select("did", "tid", F.lit(True).alias("_alone"))).distinct()
+    kept = materialize(kept.select(F.col("did").alias("_kd"), F.col("tid").alias("_kt"), "_alone"), "near-kept")
     keyed = docs.withColumns({"_did": did(), "_tid": tid()})
-    joined = keyed.join(kept, (F.col("_did") == F.col("_kd")) & (F.col("_tid") == F.col("_kt")), "left_semi")
-    return joined.dropDuplicates(["_did", "_tid"]).drop("_did", "_tid")
+    joined = keyed.join(kept, (F.col("_did") == F.col("_kd")) & (F.col("_tid") == F.col("_kt"))).withColumn("_row", F.when(F.col("_alone"), F.monotonically_increasing_id()))
+    return joined.dropDuplicates(["_did", "_tid", "_row"]).drop("_did", "_tid", "_kd", "_kt", "_alone", "_row")
 
 
 def op5_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Stands for a null doc_id in keys.
 NO_ID = -(1 << 63)
+#: Stands for the digest of a null text.
+NO_TEXT = bytearray(16)
 
 
 def did() -> Column:
@@ -15,8 +17,8 @@ def did() -> Column:
 
 
 def tid() -> Column:
-    """Tells rows apart that share a doc_id; rows equal in both have equal results."""
-    return F.hash("text").alias("tid")
+    """128-bit digest of the text (NO_TEXT for null): tells rows apart that share a doc_id; rows equal in both have equal results."""
+    return F.coalesce(F.unhex(F.md5(F.col("text").cast("string").cast("binary"))), F.lit(NO_TEXT)).alias("tid")
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:

@@ -36,8 +36,8 @@ WINDOW = 35
 GRAM = 8
 U64 = np.uint64
 _PLACE_BITS = 32
-KMERS = "key long, packed binary, dids array<long>, tids array<int>, starts array<int>"
-RANGES = "did long, tid int, first int, stop int"
+KMERS = "key long, packed binary, dids array<long>, tids array<binary>, starts array<int>"
+RANGES = "did long, tid binary, first int, stop int"
 #: Bytes of packed strings that a map task gathers before it drops the repeated ones.
 GATHER = 24 << 20
 
@@ -91,7 +91,7 @@ class Gatherer:
 
     def clear(self):
         self.at: dict[tuple[int, bytes], int] = {}
-        self.places: list[list[tuple[int, int, int]]] = []
+        self.places: list[list[tuple[int, bytes, int]]] = []
         self.size = 0
 
     def add(self, keys, strings, dids, tids, starts):
@@ -106,9 +106,9 @@ class Gatherer:
 
     def flush(self) -> pa.RecordBatch:
         counts = np.array([len(x) for x in self.places])
-        flat = np.array([p for x in self.places for p in x], dtype=np.int64).reshape(-1, 3)
+        dids, tids, starts = zip(*[p for x in self.places for p in x], strict=True)
         out = pa.RecordBatch.from_arrays(
-            [pa.array([k for k, _ in self.at], type=pa.int64()), pa.array([s for _, s in self.at], type=pa.binary()), list_column(flat[:, 0], counts, pa.int64()), list_column(flat[:, 1], counts, pa.int32()), list_column(flat[:, 2], counts, pa.int32())],
+            [pa.array([k for k, _ in self.at], type=pa.int64()), pa.array([s for _, s in self.at], type=pa.binary()), list_column(dids, counts, pa.int64()), list_column(tids, counts, pa.binary()), list_column(starts, counts, pa.int32())],
             names=["key", "packed", "dids", "tids", "starts"],
         )
         self.clear()
@@ -120,13 +120,13 @@ def places(texts: DataFrame, find: Callable) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            did, tid = batch.column("did").to_numpy(), batch.column("tid").to_numpy()
+            did, tid = batch.column("did").to_numpy(), batch.column("tid")
             for c in text_chunks(batch.column("text")):
                 if (found := find(c)) is not None:
                     key, doc, start, _ = found
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(did[c.lo + doc]), pa.array(tid[c.lo + doc]), pa.array(start.astype(np.int32))], names=["key", "did", "tid", "start"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(did[c.lo + doc]), tid.take(pa.array(c.lo + doc)), pa.array(start.astype(np.int32))], names=["key", "did", "tid", "start"])
 
-    return texts.mapInArrow(of, "key long, did long, tid int, start int")
+    return texts.mapInArrow(of, "key long, did long, tid binary, start int")
 
 
 def meeting_places(found: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def ship(texts: DataFrame, find: Callable) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Gatherer()
         for batch in batches:
-            did, tid, wanted = batch.column("did").to_numpy(), batch.column("tid").to_numpy(), batch.column("wanted")
+            did, tid, wanted = batch.column("did").to_numpy(), batch.column("tid"), batch.column("wanted")
             for c in text_chunks(batch.column("text")):
                 if (found := find(c)) is None:
                     continue
@@ -150,7 +150,7 @@ def ship(texts: DataFrame, find: Callable) -> DataFrame:
                 asked = (np.repeat(np.arange(c.hi - c.lo), own.value_lengths().to_numpy()) << 32) | own.flatten().to_numpy()
                 at = np.flatnonzero(np.isin((doc << 32) | start, asked))
                 doc = doc[at]
-                held.add(key[at].tolist(), pack(at), did[c.lo + doc].tolist(), tid[c.lo + doc].tolist(), start[at].tolist())
+                held.add(key[at].tolist(), pack(at), did[c.lo + doc].tolist(), tid.take(pa.array(c.lo + doc)).to_pylist(), start[at].tolist())
                 if held.size > GATHER:
                     yield held.flush()
         if held.at:
@@ -223,7 +223,7 @@ def repeated(kmers: DataFrame, window: int, parts: int) -> DataFrame:
             at = np.repeat(lists.offsets.to_numpy()[of_row] - np.concatenate(([0], np.cumsum(copies)[:-1])), copies) + np.arange(copies.sum())
             start = batch.column("starts").values.to_numpy()[at]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(lists.values.to_numpy()[at]), pa.array(batch.column("tids").values.to_numpy()[at]), pa.array((start + np.repeat(begin, copies)).astype(np.int32)), pa.array((start + np.repeat(end, copies)).astype(np.int32))],
+                [pa.array(lists.values.to_numpy()[at]), batch.column("tids").values.take(pa.array(at)), pa.array((start + np.repeat(begin, copies)).astype(np.int32)), pa.array((start + np.repeat(end, copies)).astype(np.int32))],
                 names=["did", "tid", "first", "stop"],
             )
 

@@ -182,7 +182,7 @@ def repeated(kmers: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
             at = np.repeat(lists.offsets.to_numpy()[string] - (np.cumsum(copies) - copies), copies) + np.arange(copies.sum())
             begin = batch.column("starts").values.to_numpy()[at]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(lists.values.to_numpy()[at]), pa.array(batch.column("tids").values.to_numpy()[at]), pa.array((begin + np.repeat(place[heads][run], copies)).astype(np.int32)), pa.array((begin + np.repeat(place[tails][run] + window, copies)).astype(np.int32))],
+                [pa.array(lists.values.to_numpy()[at]), batch.column("tids").values.take(pa.array(at)), pa.array((begin + np.repeat(place[heads][run], copies)).astype(np.int32)), pa.array((begin + np.repeat(place[tails][run] + window, copies)).astype(np.int32))],
                 names=["did", "tid", "first", "stop"],
             )
 
