@@ -2,8 +2,8 @@
 
 Terms are lower-cased words and their beginnings, hashed into ``BUCKETS``
 buckets.  Training counts in how many toxic and clean documents each bucket
-occurs, keeps the ``FEATURES`` buckets that tell the classes apart best, and
-fits bias, weights and ``FACTORS`` factors for each by Adam on the logistic
+occurs, keeps the ``FEATURES`` buckets that tell the classes apart best and up
+to ``PAIRED`` more that do so beside another one (see ``mates``), and fits bias, weights and ``FACTORS`` factors for each by Adam on the logistic
 loss.  The factors' inner products weigh pairs of terms, such as an insult with
 the mention of a group, that no sum of single weights expresses.
 
@@ -37,9 +37,14 @@ TRAIN_ROWS = 24_000
 PREFIXES = (4, 5, 6)
 LEAST_CHI2 = 20.0
 THRESHOLD = 0.7
-#: A bucket needs this many documents, and a toxic share so many times above or below the whole's: weak hints add up in long texts.
+#: A bucket needs this many documents, and an odds ratio so far from 1, whatever the share of toxic labels: weak hints add up in long texts.
 LEAST_DOCS = 6
-LIFT = 2.5
+ODDS = 3.0
+#: Buckets that are taken for pairs, the hints and buckets that are tried for it, and the chi2 that a pair needs among so many.
+PAIRED = 64
+HINTS = 32
+MATES = 8192
+LEAST_PAIR_CHI2 = 40.0
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +128,63 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def contrast(toxic, clean, all_toxic, all_clean):
+    """chi2 and odds ratio (each count half more) of terms with so many of all toxic and clean documents; for columns and arrays."""
+    n, both = all_toxic + all_clean, toxic + clean
+    cross = toxic * (all_clean - clean) - clean * (all_toxic - toxic)
+    chi2 = n * cross * cross / (both * (n - both) * all_clean * all_toxic)
+    return chi2, (toxic + 0.5) * (all_clean - clean + 0.5) / ((clean + 0.5) * (all_toxic - toxic + 0.5))
+
+
+def mates(sample: DataFrame, counts: DataFrame, taken: list[int], clean: int, toxic: int) -> list[int]:
+    """Buckets that tell the classes apart among the documents of a hint, though not by themselves.
+
+    Hints are buckets that lean to toxic documents but occur in both classes,
+    such as a soft insult; the most frequent buckets of toxic documents are
+    tried beside each, such as a group's name that is mostly used in clean ones.
+    """
+    chi2, odds = contrast(F.col("toxic").cast("double"), F.col("clean").cast("double"), float(toxic), float(clean))
+    known = counts.filter((F.col("bucket") >= 0) & (F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") + F.col("clean") < clean + toxic))
+    hints = known.filter((F.col("clean") >= LEAST_DOCS) & (odds > 1) & (chi2 >= LEAST_CHI2)).orderBy(F.desc(chi2), "bucket").limit(HINTS).collect()
+    tried = [r["bucket"] for r in known.orderBy(F.desc("toxic"), "bucket").limit(MATES + len(taken)).collect()]
+    tried = np.array(sorted(set(tried) - set(taken)), dtype=np.int64)
+    if not hints or not len(tried):
+        return []
+    of_hint, of_mate = np.full(BUCKETS, -1, dtype=np.int32), np.full(BUCKETS, -1, dtype=np.int32)
+    of_hint[[r["bucket"] for r in hints]] = np.arange(len(hints))
+    of_mate[tried] = np.arange(len(tried))
+    width = len(tried)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, len(hints) * width), dtype=np.int32)
+        for batch in batches:
+            y = batch.column("y").to_numpy()
+            for c in text_chunks(batch.column("text")):
+                doc, bucket = terms(c.data, c.offsets)
+                mate = of_mate[bucket]
+                at = np.flatnonzero(mate >= 0)
+                first = np.searchsorted(doc[at], np.arange(c.hi - c.lo + 1))
+                for i in np.flatnonzero(of_hint[bucket] >= 0).tolist():
+                    d = doc[i]
+                    seen[y[c.lo + d], of_hint[bucket[i]] * width + mate[at[first[d] : first[d + 1]]]] += 1
+        at = np.flatnonzero(seen.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[0, at].astype(np.int64)), pa.array(seen[1, at].astype(np.int64))], names=["pair", "clean", "toxic"])
+
+    pairs = sample.mapInArrow(count, "pair long, clean long, toxic long").groupBy("pair").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter(F.col("clean") + F.col("toxic") >= LEAST_DOCS).toArrow()
+    pair, c, t = (pairs.column(n).to_numpy() for n in ("pair", "clean", "toxic"))
+    all_c, all_t = (np.array([r[n] for r in hints], dtype=float)[pair // width] for n in ("clean", "toxic"))
+    some = np.flatnonzero(c + t < all_c + all_t)
+    chi2, odds = contrast(t[some].astype(float), c[some].astype(float), all_t[some], all_c[some])
+    good = np.flatnonzero((chi2 >= LEAST_PAIR_CHI2) & ((odds >= ODDS) | (odds <= 1 / ODDS)))
+    best = np.zeros(width)
+    np.maximum.at(best, pair[some[good]] % width, chi2[good])
+    order = np.lexsort((tried, -best))[:PAIRED]
+    # A hint may itself be too weak to be taken alone.
+    mated = order[best[order] > 0]
+    partners = {hints[p // width]["bucket"] for p in pair[some[good]].tolist()}
+    return [*tried[mated].tolist(), *sorted(partners - set(taken) - set(tried[mated].tolist()))]
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
     """Fit a machine on the labelled documents that aren't held out."""
     usable = labels.select(F.col("doc_id").alias("label_id"), (F.col("toxic") > 0).cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("label_id").isNotNull() & ~held_out(F.col("label_id")))
@@ -153,14 +215,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
         counts.unpersist()
         share = toxic / (clean + toxic) if clean + toxic else 0.5
         return Machine(lookup, float(np.log((share + 1e-9) / (1 - share + 1e-9))), np.zeros(1), np.zeros((1, FACTORS)))
-    with_t, with_c = F.col("toxic").cast("double"), F.col("clean").cast("double")
-    n, both = float(clean + toxic), with_t + with_c
-    odds = with_t * (clean - with_c) - with_c * (toxic - with_t)
-    chi2 = n * odds * odds / (both * (n - both) * clean * toxic)
-    lift = with_t / both / (toxic / n)
-    best = counts.filter(F.col("bucket") >= 0).filter((both >= LEAST_DOCS) & (both < n) & ((lift >= LIFT) | (lift <= 1 / LIFT))).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "bucket").limit(FEATURES).select("bucket").collect()
+    both = F.col("toxic") + F.col("clean")
+    chi2, odds = contrast(F.col("toxic").cast("double"), F.col("clean").cast("double"), float(toxic), float(clean))
+    best = counts.filter(F.col("bucket") >= 0).filter((both >= LEAST_DOCS) & (both < clean + toxic) & ((odds >= ODDS) | (odds <= 1 / ODDS))).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "bucket").limit(FEATURES).select("bucket").collect()
+    best = [r["bucket"] for r in best]
+    best += mates(sample, counts, best, clean, toxic)
     counts.unpersist()
-    lookup[[r["bucket"] for r in best]] = np.arange(len(best))
+    lookup[best] = np.arange(len(best))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
