@@ -205,6 +205,16 @@ def shortest_path_len(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.shiftright("t", 5).alias("custkey"), (F.size("path") - 1).cast("long").alias("hops"))
 
 
+def shortest_path_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Distances from customer 7 to every customer that it reaches, any way, of any length."""
+    from .operators import paths
+
+    graph = business_graph(spark, folder)
+    ends = graph.nodes["Customer"].select(F.lit(_customer(7)).cast("long").alias("s"), F.col("id").alias("t"))
+    found = paths.shortest(graph, ends, ["FOLLOWED_BY"], "both")
+    return found.select(F.shiftright("t", 5).alias("custkey"), (F.size("path") - 1).cast("long").alias("hops"))
+
+
 def shortest_path_expr(spark: SparkSession, folder: str) -> DataFrame:
     return business_graph(spark, folder).cypher("MATCH (a:Customer {custkey: 7}), (b:Customer {custkey: 11}) RETURN size(shortestPath((a)-[:FOLLOWED_BY*]-(b))) > 1 AS found")
 
@@ -256,7 +266,7 @@ def snapshot_recover(spark: SparkSession, folder: str) -> DataFrame:
     return store.recover().cypher("MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN r.name AS region, count(n) AS nations")
 
 
-API: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+API: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "traverse_api": (
         traverse_api,
         """WITH RECURSIVE e AS (SELECT DISTINCT o1.o_custkey AS s, o2.o_custkey AS t FROM orders o1 JOIN orders o2 ON o2.o_orderkey = o1.o_orderkey + 1),
@@ -278,9 +288,11 @@ API: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
     "shortest_path_expr": (shortest_path_expr, "SELECT true AS found"),
     "stream_ingest_events": (stream_ingest_events, "SELECT user_id AS custkey, count(*) AS n, sum(value) AS total FROM events WHERE event_id < 300 GROUP BY 1"),
     "stream_ingest_all_events": (stream_ingest_all_events, "SELECT user_id AS custkey, count(*) AS n, sum(value) AS total FROM events GROUP BY 1"),
+    # No SQL: a recursive query without a bound on steps counts every walk.
+    "shortest_path_all": (shortest_path_all, None),
     "snapshot_recover": (snapshot_recover, "SELECT r_name AS region, count(*) AS nations FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1 UNION ALL SELECT 'NEW', 1"),
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _cypher(q) for n, (q, _) in CYPHER.items()} | {n: f for n, (f, _) in API.items()}
-ORACLE_SQL: dict[str, str] = {n: sql for n, (_, sql) in CYPHER.items()} | {n: sql for n, (_, sql) in API.items()}
+ORACLE_SQL: dict[str, str] = {n: sql for n, (_, sql) in CYPHER.items()} | {n: sql for n, (_, sql) in API.items() if sql}
 FLAGSHIP = "MATCH (c:Customer)-[:LIVES_IN]->(n:Nation)-[:IN_REGION]->(r:Region) RETURN r.name AS region, n.name AS nation, count(c) AS customers, avg(c.acctbal) AS balance ORDER BY customers DESC, nation"

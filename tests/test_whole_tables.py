@@ -14,3 +14,17 @@ def test_all_events_are_ingested(spark, tmp_path):
         want[user][1] += value
     got = QUERIES["stream_ingest_all_events"](spark, str(tmp_path)).collect()
     assert {r.custkey: [r.n, r.total] for r in got} == want and len(got) == len(want)
+
+
+def test_distances_to_every_customer(spark, tmp_path):
+    # A line of customers from 7 on, a shortcut, and two customers out of reach.
+    follows = [(7, 50), (50, 51), (52, 51), (52, 53), (53, 54), (54, 60), (60, 61), (7, 53), (90, 91)]
+    orders = [(10 * i + k, c) for i, pair in enumerate(follows) for k, c in enumerate(pair)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    customers = sorted({c for pair in follows for c in pair} | {1})
+    spark.createDataFrame([(c, f"c{c}", 0.0, "s", 0) for c in customers], "c_custkey long, c_name string, c_acctbal double, c_mktsegment string, c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    want, level = {7: 0}, [7]
+    while level:
+        level = [y for x in level for a, b in follows for y in ((b,) if a == x else (a,) if b == x else ()) if y not in want and not want.update({y: want[x] + 1})]
+    got = QUERIES["shortest_path_all"](spark, str(tmp_path)).collect()
+    assert {r.custkey: r.hops for r in got} == want and len(got) == len(want)
