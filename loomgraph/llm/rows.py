@@ -26,6 +26,12 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     return docs.select(did(), tid(), F.col("text").cast("string").alias("text"))
 
 
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """did, tid, row: each row's columns in one struct, so that none can clash with working columns; ``row.*`` gives them back."""
+    names = [c.replace("`", "``") for c in docs.columns]
+    return docs.select(did(), tid(), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+
+
 def partitions(df: DataFrame, target: int = 64 << 20) -> int:
     """Shuffle partitions: the session's number, more where the input would exceed ``target`` bytes each."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

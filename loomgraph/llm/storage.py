@@ -3,15 +3,17 @@
 ``spark.checkpoint.dir`` names a folder that the driver and all executors
 share.  A local one is made only where that setting is absent, as in tests.
 Tables written here replace lineage, so a lost executor costs a re-read and
-not a recomputation.
+not a recomputation.  Once a table is written, the shuffle files of its plan have
+no more use and Spark is told to delete them; a table that later ones replace is
+dropped.
 """
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,25 +35,40 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting that deletes an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Inside, a write's shuffle files go when it ends."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of finished stages that nothing refers to any more.
-
-    Its cleaner works beside the driver's garbage collection; the wait lets the
-    files go before the next stage writes.  Under ``local`` there is no wait.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        if not spark.sparkContext.master.startswith("local["):
-            time.sleep(1)
+    with tidy(spark):
+        df.write.options(**options).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialize`` wrote and nothing reads any more."""
+    for df in tables:
+        if (path := getattr(df, "stored_at", None)) is not None:
+            drop_path(df.sparkSession, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
