@@ -1,24 +1,27 @@
-"""Byte-level substring dedup by column-wise suffix order of many documents.
+"""Byte-level substring dedup by column-wise construction of a collection's suffix order.
 
 Every window of ``window`` bytes has an anchor, its gram of ``gram`` bytes with
 the least hash.  Consecutive windows with one anchor form a segment; equal
-windows have equal anchors, at the same place in them, so a collection holds
-the segments of one anchor, aligned at it.
-
-A collection's suffix order is built column by column, from the last to the
-first: each round inserts one symbol of every document (segment) before its
-suffix.  The Burrows-Wheeler transform of a round are the symbols in the order
-of the suffixes so far; a stable sort by them gives the next order.  The common
-prefix of two neighbours with the same symbol is one more than the least common
-prefix between them before.  Where neighbours' common prefix reaches ``window``,
-the window that starts in this column occurs in both.  Aligned documents need
-no order among suffixes of different columns, so a round costs time in the
-number of documents, not in the size of all text before it.
-
-Columns are read one after the other, from memory or, for collections beyond
-``IN_MEMORY`` symbols, from a temporary file that is deleted when it is closed.
-A first pass counts the anchors alone; a segment whose anchor occurs nowhere
-else stays at home.  Equal segments of a task travel once, with their places.
+windows have equal anchors, at the same place in them.  Segments go to buckets by
+their anchors, and the segments of a bucket are the documents of a collection.
+As with ``substring``, a first pass counts the anchors alone and segments whose
+anchor occurs nowhere else stay at home; equal segments of a task are known to
+repeat, and one of them travels to tell the others; and segments of an anchor
+that more than ``substring.HOT`` texts have are cut by longer cores, ``LEVELS`` times.
+
+A symbol is ``symbol_bytes`` bytes (8 for windows of 400), counted from the anchor
+on, so equal windows are cut into the same symbols.  Each round inserts one
+symbol of every document, the last ones first, before its suffix so far: the
+symbols that precede the suffixes, in suffix order, are the collection's
+Burrows-Wheeler transform, and a document's new suffix has its place among all
+suffixes of all documents by that symbol and by its old place.  Common prefixes of
+new neighbours are one symbol more than the least common prefix between the
+places of what follows.  Suffix order, transform and common prefixes are read and
+written in sequence each round, as arrays or, beyond ``IN_MEMORY`` symbols, as
+temporary files that are deleted when they are closed.
+
+At the end suffixes that share all whole symbols of a window are neighbours.
+Windows begin and end inside the symbols before and after, whose bytes are compared.
 
 Defined results: a null text has no bytes; texts shorter than a window lose
 nothing; repeated rows are copies of each other, so all windows of both go;
@@ -29,171 +32,241 @@ rows.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import Chunk, cover, gram_hashes, group_blocks, spans_to_binary, text_chunks
+from .bytewords import Chunk, cover, group_blocks, spans_to_binary, text_chunks
 from .rows import NO_ID, keyed_texts, partitions
-from .storage import materialize, release
-from .substring import RANGES, first_minimum, gather, ranges_by_text
+from .storage import materialize
+from .substring import RANGES, Finder, Pieces, gather, known_ranges, minimiser_runs, range_rows, ranges_by_text
 
 WINDOW = 400
 GRAM = 16
-IN_MEMORY = 64 << 20
-#: Stands for the place before or after a segment; differs from every byte.
-OUTSIDE = 256
-
-
-def segments(data: np.ndarray, offsets: np.ndarray, window: int, gram: int):
-    """key, document, first byte in it, anchor's place, and span of each segment of a chunk."""
-    n = len(data) - window + 1
-    if n <= 0:
-        return None
-    stop = np.repeat(offsets[1:], np.diff(offsets))[:n]
-    valid = np.arange(n) + window <= stop
-    if not valid.any():
-        return None
-    grams = gram_hashes(data, gram)
-    least = first_minimum(grams, window - gram + 1)
-    head = valid.copy()
-    head[1:] &= (least[1:] != least[:-1]) | (stop[1:] != stop[:-1])
-    heads = np.flatnonzero(head)
-    count = np.bincount((np.cumsum(head) - 1)[valid], minlength=len(heads))
-    doc = np.searchsorted(offsets, heads, side="right") - 1
-    return grams[least[heads]].view(np.int64), doc, heads - offsets[doc], least[heads] - heads, heads, heads + count + window - 1
-
-
-def segment_finder(window: int, gram: int) -> Callable:
-    """Cuts a chunk into segments: key, document, first byte, and a function that packs some: two bytes of the anchor's place, then the segment."""
+LEVELS = 3
+#: Symbols of a collection beyond which its arrays are files.
+IN_MEMORY = 8 << 20
+#: Entries that a pass over such an array reads at a time.
+STEP = 1 << 18
+#: Common prefixes whose least is kept together.
+BLOCK = 8
+LOW = (1 << 32) - 1
 
-    def find(c: Chunk):
-        if (found := segments(c.data, c.offsets, window, gram)) is None:
-            return None
-        key, doc, first, anchor, a, b = found
 
-        def pack(at: np.ndarray) -> list[bytes]:
+def byte_finder(window: int, gram: int) -> Finder:
+    """Cuts texts into segments of bytes, packed as two bytes of the anchor's place, then the segment."""
+
+    def find(c: Chunk):
+        def pack(some: Pieces) -> list[bytes]:
             whole = c.data.tobytes()
-            return [x.to_bytes(2, "little") + whole[y:z] for x, y, z in zip(anchor[at].tolist(), a[at].tolist(), b[at].tolist(), strict=True)]
-
-        return key, doc, first, pack
-
-    return find
-
-
-def columns(data: np.ndarray, starts: np.ndarray, first: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
-    """The collections' symbols, a row for each column. Segment i has data[starts[i]:starts[i] + size[i]] from column first[i] on."""
-    n = len(starts)
-    if n * width > IN_MEMORY:
-        out = np.memmap(tempfile.TemporaryFile(), dtype=np.uint16, shape=(width, n))
-    else:
-        out = np.empty((width, n), dtype=np.uint16)
-    for lo in range(0, n, 4096):
-        some = slice(lo, min(n, lo + 4096))
-        slab = np.full((some.stop - lo, width), OUTSIDE, dtype=np.uint16)
-        for row, a, f, k in zip(slab, starts[some].tolist(), first[some].tolist(), size[some].tolist(), strict=True):
-            row[f : f + k] = data[a : a + k]
-        out[:, some] = slab.T
-    return out
+            place = (some.anchor - some.first).tolist()
+            return [x.to_bytes(2, "little", signed=True) + whole[a:b] for x, a, b in zip(place, some.first.tolist(), (some.first + some.count + window - 1).tolist(), strict=True)]
+
+        return minimiser_runs(c.data, c.offsets, window, gram), c.data, pack
+
+    return Finder(find, window, LEVELS)
+
+
+def symbol_bytes(window: int) -> int:
+    return next(b for b in (8, 4, 2, 1) if window % b == 0 and window > b)
+
 
+def array(n: int, kind) -> np.ndarray:
+    """An array, in a temporary file if it is long."""
+    return np.memmap(tempfile.TemporaryFile(), dtype=kind, shape=(n,)) if n > IN_MEMORY else np.empty(n, dtype=kind)
 
-def repeated_columns(symbols: np.ndarray, collection: np.ndarray, window: int, last: int) -> np.ndarray:
-    """(last + 1) x documents: whether the window that starts in a column occurs in another document of the collection too.
 
-    collection: of each document, ascending.
+class Least:
+    """Least values of ranges of an array, from the least of its blocks."""
+
+    def __init__(self, values: np.ndarray):
+        n = len(values) // BLOCK
+        self.values, self.levels = values, [np.minimum.reduce([values[k : n * BLOCK : BLOCK] for k in range(BLOCK)])] if n else []
+        while self.levels and len(self.levels[-1]) > 1 << (len(self.levels) - 1):
+            h = 1 << (len(self.levels) - 1)
+            self.levels.append(np.minimum(self.levels[-1][:-h], self.levels[-1][h:]))
+
+    def between(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The least of values[lo:hi] for each pair; every range has entries."""
+        out = self.values[lo]
+        a, b = -(-lo // BLOCK), hi // BLOCK
+        for k in range(1, BLOCK):
+            out = np.minimum(out, self.values[np.minimum(lo + k, hi - 1)])
+            out = np.minimum(out, self.values[np.maximum(hi - k, lo)])
+        if len(wide := np.flatnonzero(b > a)):
+            level = np.frexp((b - a)[wide].astype(np.float64))[1] - 1
+            for x in np.unique(level).tolist():
+                at = wide[level == x]
+                table = self.levels[x]
+                out[at] = np.minimum(out[at], np.minimum(table[a[at]], table[b[at] - (1 << x)]))
+        return out
+
+
+def suffix_order(symbols: np.ndarray, begin: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All suffixes in order (as places in symbols), their common prefixes with the suffix before (up to ``cap``), and the collection's Burrows-Wheeler transform (-1 before a document's first symbol).
+
+    symbols: those of all documents, from 0 on; begin: where each document begins, and the end.
     """
-    n = symbols.shape[1]
-    out = np.zeros((last + 1, n), dtype=bool)
-    order, common = np.arange(n), np.zeros(n + 1, dtype=np.int32)
-    base = collection.astype(np.int64) * (OUTSIDE + 1)
-    for c in range(len(symbols) - 1, -1, -1):
-        bwt = symbols[c][order]
-        key = base + bwt
-        moved = np.argsort(key, kind="stable")
-        key, order = key[moved], order[moved]
-        same = np.flatnonzero((key[1:] == key[:-1]) & (bwt[moved[1:]] != OUTSIDE))
-        p, q = moved[same], moved[same + 1]
-        least = common[q]
-        if len(far := np.flatnonzero(q != p + 1)):
-            # Over the suffixes that stood between the two.
-            ends = np.stack((p[far] + 1, q[far] + 1), axis=1).ravel()
-            least[far] = np.minimum.reduceat(common, ends)[::2]
-        common = np.zeros(n + 1, dtype=np.int32)
-        common[same + 1] = least + 1
-        if c <= last and len(hit := np.flatnonzero(common[:n] >= window)):
-            out[c, order[hit]] = True
-            out[c, order[hit - 1]] = True
+    small = np.uint8 if cap < 256 else np.uint16
+    # key: a suffix's first symbol, and the place of what follows it, from 1 on, or 0 where nothing does.
+    key, order, common, bwt = array(0, np.int64), array(0, np.int32), array(0, small), array(0, np.int32)
+    left, rank = np.diff(begin), np.zeros(len(begin) - 1, dtype=np.int64)
+    live = np.flatnonzero(left > 0)
+    following = symbols[begin[1:][live] - 1]
+    while len(live):
+        left[live] -= 1
+        at = begin[live] + left[live]
+        new = (following.astype(np.int64) << 32) | rank[live]
+        by = np.argsort(new, kind="stable")
+        new, at, live = new[by], at[by], live[by]
+        place, m, n = np.searchsorted(key, new, side="right"), len(new), len(key)
+        slot = place + np.arange(m)
+        least = Least(common)
+
+        def prefix(a: np.ndarray, b: np.ndarray, least=least) -> np.ndarray:
+            """Common prefixes of suffixes a and b, given by keys, that are neighbours in this order."""
+            out = ((a >> 32) == (b >> 32)).astype(small)
+            x, y = a & LOW, b & LOW
+            more = np.flatnonzero((out > 0) & (x > 0))
+            out[more] = np.minimum(cap, 1 + least.between(x[more], y[more]).astype(np.int64))
+            return out
+
+        before = np.concatenate(([False], slot[1:] == slot[:-1] + 1))
+        after = np.concatenate((before[1:], [False]))
+        own = np.zeros(m, dtype=small)
+        first = np.flatnonzero(~before & (place > 0))
+        own[first] = prefix(key[place[first] - 1], new[first])
+        inner = np.flatnonzero(before)
+        own[inner] = prefix(new[inner - 1], new[inner])
+        last = np.flatnonzero(~after & (place < n))
+        next_ = prefix(new[last], key[place[last]])
+        # Places of the suffixes so far among all.
+        moved = array(n + 1, np.int32)
+        moved[0] = 0
+        for lo in range(0, n, STEP):
+            hi = min(n, lo + STEP)
+            a, b = np.searchsorted(place, (lo, hi))
+            moved[lo + 1 : hi + 1] = np.arange(lo + 1, hi + 1) + a + np.cumsum(np.bincount(place[a:b] - lo, minlength=hi - lo))
+        came = np.where(at > begin[live], symbols[np.maximum(at - 1, 0)], -1)
+        out = [array(n + m, x.dtype) for x in (key, order, common, bwt)]
+        for lo in range(0, n, STEP):
+            hi = min(n, lo + STEP)
+            to = moved[lo + 1 : hi + 1] - 1
+            out[0][to] = (key[lo:hi] & ~LOW) | moved[key[lo:hi] & LOW]
+            for x, y in zip(out[1:], (order, common, bwt), strict=True):
+                x[to] = y[lo:hi]
+        out[0][slot] = (new & ~LOW) | moved[new & LOW]
+        out[1][slot], out[2][slot], out[3][slot] = at, own, came
+        out[2][slot[last] + 1] = next_
+        key, order, common, bwt = out
+        rank[live] = slot + 1
+        live = live[left[live] > 0]
+        # The next symbols stand in the transform where their documents' suffixes do.
+        following = bwt[rank[live] - 1]
+    return order, common, bwt
+
+
+def _numbers(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` bytes at each place as a big-endian number."""
+    out = np.zeros(len(at), dtype=np.uint64)
+    for k in range(size):
+        out = (out << np.uint64(8)) | data[at + k]
     return out
 
 
-def repeated(kmers: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
-    """Byte ranges [first, stop) of texts that are covered by windows that occur more than once."""
+def repeated_windows(data: np.ndarray, offsets: np.ndarray, anchor: np.ndarray, times: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """String and place in it of each window that occurs more than once in the strings.
+
+    data, offsets: the strings; anchor: a place in each from which symbols are
+    counted both ways; times: how often each string occurs.
+    """
+    size = symbol_bytes(window)
+    core = window // size - 1
+    phase = anchor % size
+    count = np.maximum(0, (np.diff(offsets) - phase) // size)
+    begin = np.concatenate(([0], np.cumsum(count)))
+    string = np.repeat(np.arange(len(count)), count)
+    at = offsets[string] + phase[string] + size * (np.arange(len(string)) - begin[string])
+    padded = np.concatenate((np.zeros(size, dtype=np.uint8), data, np.zeros(size, dtype=np.uint8)))
+    symbols = np.unique(_numbers(padded, at + size, size), return_inverse=True)[1].astype(np.int32)
+    order, common, _ = suffix_order(symbols, begin, core)
+    # Runs of suffixes that share their first ``core`` symbols.
+    near = np.concatenate((common >= core, [False]))
+    member = near[:-1] | near[1:]
+    suffix = np.asarray(order)[member]
+    group = np.cumsum(~near[:-1])[member]
+    string, at = string[suffix], at[suffix]
+    have_left, have_right = np.minimum(size, at - offsets[string]), np.minimum(size, offsets[string + 1] - at - core * size)
+    left, right = _numbers(padded, at, size), _numbers(padded, at + size + core * size, size)
+    strings, places = [], []
+    # Where all of a run have the same bytes on both sides, all windows repeat.
+    heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.zeros(0, dtype=np.int64)
+    run = np.cumsum(np.concatenate(([False], group[1:] != group[:-1]))) if len(group) else group
+    alike = np.ones(len(heads), dtype=bool)
+    for x, full in ((left, have_left == size), (right, have_right == size)):
+        if len(heads):
+            alike &= (np.minimum.reduceat(x, heads) == np.maximum.reduceat(x, heads)) & np.logical_and.reduceat(full, heads)
+    mixed = np.flatnonzero(~alike[run]) if len(group) else np.zeros(0, dtype=np.int64)
+    for d in range(size):
+        if len(group):
+            strings.append(string[alike[run]])
+            places.append((at - offsets[string])[alike[run]] - d)
+        some = mixed[(have_left[mixed] >= d) & (have_right[mixed] >= size - d)]
+        # d bytes before the symbols and the others after them.
+        own = (right[some] >> np.uint64(8 * d)) | ((left[some] & np.uint64((1 << 8 * d) - 1)) << np.uint64(8 * (size - d)) if d else np.uint64(0))
+        by = np.lexsort((own, run[some]))
+        some, own = some[by], own[by]
+        if not len(some):
+            continue
+        new = np.concatenate(([True], (run[some][1:] != run[some][:-1]) | (own[1:] != own[:-1])))
+        of = np.cumsum(new) - 1
+        hit = some[np.bincount(of, weights=times[string[some]])[of] > 1]
+        strings.append(string[hit])
+        places.append(at[hit] - offsets[string[hit]] - d)
+    none = np.zeros(0, dtype=np.int64)
+    return np.concatenate(strings) if strings else none, np.concatenate(places) if places else none
+
+
+def repeated(pieces: DataFrame, window: int, parts: int) -> DataFrame:
+    """Byte ranges [first, stop) of texts that are covered by windows that occur more than once. pieces: rows of PIECES."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = window - gram
-        for table in group_blocks(batches, "key", 4096, 8 << 20):
-            batch = table.combine_chunks().to_batches()[0]
-            key, packed, lists = batch.column("key").to_numpy(), batch.column("packed"), batch.column("dids")
-            n, times = len(key), np.diff(lists.offsets.to_numpy())
-            c = next(text_chunks(packed, 1 << 40))
-            # Equal strings of several tasks are one document.
-            new = np.ones(n, dtype=bool)
-            new[1:] = (key[1:] != key[:-1]) | ~pc.equal(packed.slice(1), packed.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-            one = np.flatnonzero(new)
-            of_row = np.cumsum(new) - 1
-            total = np.bincount(of_row, weights=times)
-            start, size = c.offsets[one] + 2, np.diff(c.offsets)[one] - 2
-            anchor = c.data[start - 2].astype(np.int64) + 256 * c.data[start - 1].astype(np.int64)
-            first = last - anchor
-            whole = total > 1
-            # Documents that share their anchor with another one.
-            keys = key[one]
-            shared = np.zeros(len(one), dtype=bool)
-            shared[1:] = keys[1:] == keys[:-1]
-            shared[:-1] |= shared[1:]
-            windows = size - window + 1
-            row = np.repeat(np.arange(len(one)), windows)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-            many = whole[row]
-            some = np.flatnonzero(shared)
-            if len(some):
-                symbols = columns(c.data, start[some], first[some], size[some], last + window)
-                found = repeated_columns(symbols, np.cumsum(np.concatenate(([0], np.diff(keys[some]) != 0))), window, last)
-                index = np.full(len(one), -1)
-                index[some] = np.arange(len(some))
-                at = np.flatnonzero(index[row] >= 0)
-                many[at] |= found[(first[row] + place)[at], index[row[at]]]
-            if not many.any():
+        for table in group_blocks(batches, "key", 16384, 8 << 20):
+            ranges, batch = known_ranges(table)
+            yield ranges
+            if batch is None:
+                continue
+            # Strings whose key no other one has repeat nowhere else.
+            key = batch.column("key").to_numpy()
+            same = np.concatenate(([False], key[1:] == key[:-1], [False]))
+            batch = batch.filter(pa.array(same[1:] | same[:-1]))
+            if not batch.num_rows:
                 continue
-            edge = np.ones(len(row) + 1, dtype=bool)
-            edge[1:-1] = (row[1:] != row[:-1]) | (many[1:] != many[:-1])
-            heads, tails = np.flatnonzero(edge[:-1]), np.flatnonzero(edge[1:])
-            heads, tails = heads[many[heads]], tails[many[heads]]
-            runs = np.bincount(row[heads], minlength=len(one))
-            # Each string's runs, at each of its places.
-            string = np.repeat(np.arange(n), runs[of_row])
-            skip = np.cumsum(runs[of_row]) - runs[of_row]
-            run = (np.cumsum(runs) - runs)[of_row[string]] + np.arange(len(string)) - skip[string]
-            copies = times[string]
-            at = np.repeat(lists.offsets.to_numpy()[string] - (np.cumsum(copies) - copies), copies) + np.arange(copies.sum())
-            begin = batch.column("starts").values.to_numpy()[at]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(lists.values.to_numpy()[at]), batch.column("tids").values.take(pa.array(at)), pa.array((begin + np.repeat(place[heads][run], copies)).astype(np.int32)), pa.array((begin + np.repeat(place[tails][run] + window, copies)).astype(np.int32))],
-                names=["did", "tid", "first", "stop"],
-            )
-
-    return kmers.repartition(parts, "key").sortWithinPartitions("key", "packed").mapInArrow(of, RANGES)
+            c = next(text_chunks(batch.column("packed"), 1 << 40))
+            head = c.offsets[:-1]
+            anchor = np.stack((c.data[head], c.data[head + 1]), axis=1).view("<i2").ravel().astype(np.int64)
+            body = np.ones(len(c.data), dtype=bool)
+            body[head] = body[head + 1] = False
+            offsets = c.offsets - 2 * np.arange(len(c.offsets))
+            times = 1 + batch.column("many").to_numpy(zero_copy_only=False)
+            string, place = repeated_windows(c.data[body], offsets, anchor, times, window)
+            order = np.lexsort((place, string))
+            string, place = string[order], place[order]
+            edge = np.ones(len(string) + 1, dtype=bool)
+            edge[1:-1] = (string[1:] != string[:-1]) | (place[1:] > place[:-1] + 1)
+            if len(string):
+                heads, tails = np.flatnonzero(edge[:-1]), np.flatnonzero(edge[1:])
+                yield range_rows(batch, string[heads], place[heads], place[tails] + window)
+
+    return pieces.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(of, RANGES)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) of every row."""
-    spark = docs.sparkSession
-    ranges = materialize(repeated(gather(docs, segment_finder(window, gram), "bytes"), window, gram, partitions(docs, 16 << 20)), "byte-ranges")
-    release(spark)  # the segments' shuffle files
+    ranges = materialize(repeated(gather(docs, byte_finder(window, gram), "bytes"), window, partitions(docs, 16 << 20)), "byte-ranges")
     joined = keyed_texts(docs).join(ranges_by_text(ranges), ["did", "tid"], "left")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from loomgraph.llm import substring, suffixes
 
@@ -48,28 +49,62 @@ def test_small_windows_and_files(spark, monkeypatch):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got), key=str) == brute(rows, 40)
 
 
-def test_columns_give_the_common_prefixes():
-    rng = random.Random(2)
-    width, window, last = 30, 6, 24
+def test_hot_anchors(spark, monkeypatch):
+    monkeypatch.setattr(substring, "HOT", 2)
+    rows = case()
+    got = suffixes.remove_repeats(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got), key=str) == brute(rows, 400)
+
+
+@pytest.mark.parametrize("in_memory", [1 << 20, 10])
+def test_order_of_a_collection(monkeypatch, in_memory):
+    """Suffix order, common prefixes and transform of random collections."""
+    monkeypatch.setattr(suffixes, "IN_MEMORY", in_memory)
+    monkeypatch.setattr(suffixes, "STEP", 7)
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        count = rng.integers(0, 30, size=rng.integers(1, 12))
+        begin = np.concatenate(([0], np.cumsum(count)))
+        symbols = rng.integers(0, 3, size=begin[-1]).astype(np.int32)
+        order, common, bwt = suffixes.suffix_order(symbols, begin, 6)
+        end = np.repeat(begin[1:], count)
+        texts = [symbols[i : end[i]].tolist() for i in np.asarray(order).tolist()]
+        assert sorted(np.asarray(order).tolist()) == list(range(len(symbols))) and texts == sorted(texts)
+        starts = set(begin[:-1].tolist())
+        for j, i in enumerate(np.asarray(order).tolist()):
+            assert bwt[j] == (-1 if i in starts else symbols[i - 1])
+            if j:
+                n = 0
+                while n < min(len(texts[j]), len(texts[j - 1])) and texts[j][n] == texts[j - 1][n]:
+                    n += 1
+                assert common[j] == min(6, n)
+
+
+@pytest.mark.parametrize("window", [8, 12, 16, 7])
+def test_windows_of_aligned_strings(window):
+    rng = random.Random(window)
     for _ in range(30):
-        spans, texts, group = [], [], []
-        for g in range(4):
-            base = bytes(rng.choice(b"abc") for _ in range(width))
-            for _ in range(rng.randrange(1, 7)):
-                a = rng.randrange(0, 15)
-                t = bytearray(base)
-                t[rng.randrange(width)] = rng.choice(b"abc")
-                spans.append((a, rng.randrange(a + window, width + 1)))
-                texts.append(bytes(t))
-                group.append(g)
-        data = np.frombuffer(b"".join(t[a:b] for t, (a, b) in zip(texts, spans, strict=True)), dtype=np.uint8)
-        size = np.array([b - a for a, b in spans])
-        symbols = suffixes.columns(data, np.cumsum(size) - size, np.array([a for a, _ in spans]), size, width)
-        got = suffixes.repeated_columns(symbols, np.array(group), window, last)
-        for i, (a, b) in enumerate(spans):
-            for c in range(last + 1):
-                want = a <= c and c + window <= b and any(j != i and group[j] == group[i] and spans[j][0] <= c and c + window <= spans[j][1] and texts[j][c : c + window] == texts[i][c : c + window] for j in range(len(spans)))
-                assert got[c, i] == want
+        base = bytes(rng.choice(b"ab") for _ in range(60))
+        strings, anchor = [], []
+        for _ in range(rng.randrange(1, 9)):
+            a, b = sorted((rng.randrange(0, 25), rng.randrange(35, 61)))
+            t = bytearray(base)
+            for _ in range(rng.randrange(3)):
+                t[rng.randrange(60)] = rng.choice(b"abc")
+            strings.append(bytes(t[a:b]))
+            anchor.append(30 - a)
+        offsets = np.concatenate(([0], np.cumsum([len(s) for s in strings])))
+        times = np.array([rng.choice((1, 1, 1, 2)) for _ in strings])
+        string, place = suffixes.repeated_windows(np.frombuffer(b"".join(strings), dtype=np.uint8), offsets, np.array(anchor), times, window)
+        got = set(zip(string.tolist(), place.tolist(), strict=True))
+        assert len(got) == len(string)
+        every = [(i, p, s[p : p + window], anchor[i] - p) for i, s in enumerate(strings) for p in range(len(s) - window + 1)]
+        # Windows at the same place from the anchor must be found; others that are equal may be.
+        aligned = Counter((w, a) for i, _, w, a in every for _ in range(times[i]))
+        total = Counter(w for i, _, w, _ in every for _ in range(times[i]))
+        alone = {(i, p) for i, p, w, a in every if times[i] > 1 and aligned[w, a] == times[i]}
+        assert {(i, p) for i, p, w, a in every if aligned[w, a] > 1} - alone <= got
+        assert all(total[w] > 1 for i, p, w, _ in every if (i, p) in got)
 
 
 def test_empty(spark):
