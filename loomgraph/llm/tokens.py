@@ -6,11 +6,13 @@ column with dictionary encoding (delta encoding where a dictionary grows too
 large), in row groups and pages of set sizes with page indexes, so a reader can
 take n_tokens without the ids, or the ids of a doc_id range without the rest.
 A document's place in the whole stream is its place in its file plus the
-tokens of the files before, one number for each file.
+tokens of the files before, one number for each file; these numbers are written
+out first, so that they are sent to the ids and the ids stay where they are.
 
 Encoding keeps a table of pieces.  A single space between two characters that
 aren't white space always begins a pre-token, so the pieces of a text cut there
-can be encoded apart; texts with other spacing are encoded whole.
+can be encoded apart; texts with other spacing, and those that hold the name of
+a special token, are encoded whole.
 
 Defined results: a null or empty text has only the end id; rows that share a
 doc_id all stay, ordered by their texts' hash; a null doc_id comes first; an
@@ -33,13 +35,15 @@ from pyspark.sql import functions as F
 
 from .bytewords import _table, list_column, text_chunks
 from .rows import NO_ID, keyed_texts, partitions
-from .storage import new_path
+from .storage import materialize, new_path, tidy
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 MARKS = frozenset(",.;:!?")
-#: Pieces that a worker keeps; beyond them pieces are encoded anew each time.
+#: Pieces that a worker keeps, in the second half those that it met before; others are encoded anew each time.
 TABLE_SIZE = 600_000
+#: Bits that note which pieces a worker met.
+MET_BITS = 25
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
@@ -89,8 +93,9 @@ class Encoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.end = np.array([end], dtype="<i4").tobytes()
+        self.met = bytearray(1 << (MET_BITS - 3))
 
     def whole(self, text: str) -> bytes:
         return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -104,12 +109,19 @@ class Encoder(dict):
             ids = self[piece[:-1]] + self.whole(piece[-1])
         else:
             ids = self.whole(piece if cut == 0 else " " + piece)
-        if len(self) < TABLE_SIZE:
+        if len(self) < TABLE_SIZE // 2:
             self[piece] = ids
+        elif len(self) < TABLE_SIZE:
+            # Most pieces come once: they take no more room.
+            at = hash(piece) & ((1 << MET_BITS) - 1)
+            if self.met[at >> 3] >> (at & 7) & 1:
+                self[piece] = ids
+            else:
+                self.met[at >> 3] |= 1 << (at & 7)
         return ids
 
     def encode(self, text: str, odd: bool) -> bytes:
-        if odd or not text:
+        if odd or not text or any(t in text for t in self.special):
             return (self.whole(text) if text else b"") + self.end
         pieces = text.split(" ")
         return b"".join([self.whole(pieces[0]), *map(self.__getitem__, pieces[1:]), self.end])
@@ -154,7 +166,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int = END_ID)
                     names=["part", "doc_id", "part_start", "n_tokens", "ids"],
                 )
 
-    ordered.mapInArrow(encode, SCHEMA).write.options(**FORMAT).parquet(path)
+    with tidy(spark):
+        ordered.mapInArrow(encode, SCHEMA).write.options(**FORMAT).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -163,7 +176,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # One row for each file.
     before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
+    offsets = materialize(totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip")), "token-offsets")
     return rows.join(offsets, "part").select("doc_id", (F.col("skip") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
 

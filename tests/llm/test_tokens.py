@@ -15,7 +15,6 @@ from .fixtures import documents, frame, prose
 
 def expected(rows):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     out, start = [], 0
     for i, text, _ in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
@@ -52,6 +51,24 @@ def test_pieces_equal_whole_texts():
             assert encoder.encode(text, bool(o)) == (encoder.whole(text) if text else b"") + encoder.end, repr(text)
 
 
+def test_special_tokens_are_as_plain_encoding_has_them(spark):
+    text = "hello <|endoftext|> world <|endoftext|>."
+    ids = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+    assert 50256 in ids
+    path = new_path(spark, "tokens")
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        tokens.write_tokens(frame(spark, [(1, text, "a"), (2, "x", "a")]), path, f.read())
+    assert [list(r.ids) for r in tokens.read_tokens(spark, path).orderBy("start").collect()][0] == [*ids, 0]
+
+
+def test_ids_are_not_shuffled_to_be_read(spark):
+    path = new_path(spark, "tokens")
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        tokens.write_tokens(frame(spark, documents()), path, f.read())
+    plan = tokens.read_tokens(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_empty_table(spark):
     assert tokens.tokenize_documents(frame(spark, [])).collect() == []
 
