@@ -8,9 +8,12 @@ benchmark, each hit is extended to the windows around it, and these are
 compared with the benchmark's windows word for word.  A test item shorter than
 a window is one window; such lengths have whole-item fingerprints.
 
-The benchmark's fingerprints go to all executors in blocks of at most
-``BLOCK_WORDS`` words.  A larger benchmark takes several passes over the
-documents, whose hits are united, so nothing unbounded is broadcast.
+The benchmark's windows are a table, made on the executors.  Where it has at most
+``LOCAL_WINDOWS`` rows, which is counted first, it goes to all executors and one
+pass over the documents gives the results.  A larger one stays a table: a filter
+of fixed size (``filters``) lets those windows of documents through whose
+fingerprint the benchmark may have, and a join on fingerprint and words finds
+the shared ones.  The driver and what is broadcast have a bound either way.
 
 Defined results: null or word-less texts have no hits, and such items occur
 nowhere; repeated items count by distinct item_id, and a null item_id is the
@@ -23,50 +26,75 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytewords import ALNUM, cover, find_words, gram_hashes, sliding_min, text_chunks
-from .rows import NO_ID, keyed_texts
-from .storage import materialize
+from .bytewords import ALNUM, Words, cover, find_words, gram_hashes, mix, sliding_min, text_chunks
+from .filters import key_filter, may_have
+from .rows import NO_ID, keyed_rows, keyed_texts
+from .storage import drop, materialize
 
 WINDOW = 10
 GRAM = 5
 SPAN = WINDOW - GRAM + 1
-BLOCK_WORDS = 4_000_000
-
-
-class Index:
-    """Windows of a block of test items.
-
-    prints: sorted fingerprints; short: per length below WINDOW, sorted hashes
-    of whole items; items: window's words to the items it occurs in.
-    """
-
-    def __init__(self, rows: list[tuple[str, bytes]]):
-        prints: list[np.ndarray] = []
-        short: dict[int, list[int]] = defaultdict(list)
-        items: dict[bytes, set[str]] = defaultdict(set)
-        for item, text in rows:
-            data = np.frombuffer(text, dtype=np.uint8)
-            w = find_words(data, np.array([0, len(data)]), ALNUM, lower=True)
-            n = len(w.starts)
-            if not n:
-                continue
-            words = [bytes(w.data[a:b]) for a, b in zip(w.starts, w.ends, strict=True)]
-            size = min(n, WINDOW)
-            for i in range(n - size + 1):
-                items[b" ".join(words[i : i + size])].add(item)
-            if n < WINDOW:
-                short[n].append(int(gram_hashes(w.hashes(), n)[0]))
-            else:
-                prints.append(np.unique(sliding_min(gram_hashes(w.hashes(), GRAM), SPAN)))
-        self.prints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, dtype=np.uint64)
-        self.short = {n: np.unique(np.array(x, dtype=np.uint64)) for n, x in short.items()}
-        self.items = {k: tuple(sorted(v)) for k, v in items.items()}
+#: Windows of test items that are sent to all executors at most.
+LOCAL_WINDOWS = 200_000
+
+
+def prints(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the n-word windows that lie inside their texts, and fingerprints."""
+    if len(w.starts) < n:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    if n == WINDOW:
+        found = sliding_min(gram_hashes(w.hashes(), GRAM), SPAN)
+    else:
+        found = mix(gram_hashes(w.hashes(), n) + np.uint64(n))
+    at = np.flatnonzero(np.arange(len(found)) + n <= w.stop()[: len(found)])
+    return at, found[at]
+
+
+def spelled(w: Words, at: np.ndarray, n: int) -> list[bytes]:
+    """The words of windows, joined by one space."""
+    text = memoryview(w.data)
+    return [b" ".join([bytes(text[a:b]) for a, b in zip(w.starts[i : i + n].tolist(), w.ends[i : i + n].tolist(), strict=True)]) for i in at.tolist()]
+
+
+def benchmark_windows(benchmark: DataFrame) -> DataFrame:
+    """n, print, words, items of the distinct windows of test items."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in text_chunks(batch.column("text")):
+                w = find_words(c.data, c.offsets, ALNUM, lower=True)
+                size = np.diff(w.first)
+                for n in np.unique(np.minimum(size, WINDOW)).tolist():
+                    if not n:
+                        continue
+                    at, found = prints(w, n)
+                    doc = np.searchsorted(w.first, at, side="right") - 1
+                    own = np.flatnonzero(np.minimum(size[doc], WINDOW) == n)
+                    yield pa.RecordBatch.from_arrays([batch.column("item").take(pa.array(c.lo + doc[own])), pa.array(np.full(len(own), n, dtype=np.int32)), pa.array(found[own].view(np.int64)), pa.array(spelled(w, at[own], n), type=pa.binary())], names=["item", "n", "print", "words"])
+
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(of, "item string, n int, print long, words binary").groupBy("n", "print", "words").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+class Index(NamedTuple):
+    """Windows of test items: by length their sorted fingerprints, and the items that each window's words occur in."""
+
+    prints: dict[int, np.ndarray]
+    items: dict[bytes, tuple[str, ...]]
+
+
+def local_index(windows: DataFrame) -> Index:
+    """All windows, of which there are at most LOCAL_WINDOWS."""
+    rows = windows.toArrow()
+    n, found = rows.column("n").to_numpy(), rows.column("print").to_numpy().view(np.uint64)
+    return Index({k: np.unique(found[n == k]) for k in np.unique(n).tolist()}, {w: tuple(i) for w, i in zip(rows.column("words").to_pylist(), rows.column("items").to_pylist(), strict=True)})
 
 
 def among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -78,79 +106,36 @@ def among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 def hits(data: np.ndarray, offsets: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, dict[int, set[str]]]:
     """Words per document, whether each word is hit, and the items found in each document that has any."""
     w = find_words(data, offsets, ALNUM, lower=True)
-    total = len(w.starts)
-    hit = np.zeros(total, dtype=bool)
     found: dict[int, set[str]] = defaultdict(set)
-    words = np.diff(w.first)
-    if not total:
-        return words, hit, found
-    hashes, doc, stop = w.hashes(), w.doc(), w.stop()
-    tries: dict[int, np.ndarray] = {}  # window length to the places to compare
-    if len(index.prints) and total >= WINDOW:
-        grams = gram_hashes(hashes, GRAM)
-        # Fingerprints of every full window that stays inside its document.
-        least = sliding_min(grams, SPAN)
-        inside = np.arange(len(least)) + WINDOW <= stop[: len(least)]
-        if len(at := np.flatnonzero(inside & among(least, index.prints))):
-            tries[WINDOW] = at
-    for n, table in index.short.items():
-        if total >= n:
-            grams = gram_hashes(hashes, n)
-            inside = np.arange(len(grams)) + n <= stop[: len(grams)]
-            if len(at := np.flatnonzero(inside & among(grams, table))):
-                tries[n] = at
-    first, last = [], []
-    text = memoryview(w.data)
-    for n, at in tries.items():
-        for i in at.tolist():
-            key = b" ".join([bytes(text[a:b]) for a, b in zip(w.starts[i : i + n].tolist(), w.ends[i : i + n].tolist(), strict=True)])
-            if own := index.items.get(key):
+    first, last, doc = [], [], w.doc()
+    for n, table in index.prints.items():
+        at, own = prints(w, n)
+        at = at[among(own, table)]
+        for i, words in zip(at.tolist(), spelled(w, at, n), strict=True):
+            if items := index.items.get(words):
                 first.append(i)
                 last.append(i + n)
-                found[int(doc[i])].update(own)
-    if first:
-        hit = cover(total, np.array(first), np.array(last))
-    return words, hit, found
+                found[int(doc[i])].update(items)
+    hit = cover(len(w.starts), np.array(first), np.array(last)) if first else np.zeros(len(w.starts), dtype=bool)
+    return np.diff(w.first), hit, found
 
 
 def item_digest(items) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def benchmark_blocks(benchmark: DataFrame) -> Iterator[Index]:
-    """The benchmark, read in parts of bounded size."""
-    held, words = [], 0
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    for r in rows.toLocalIterator():
-        text = r["text"].encode()
-        held.append((r["item"], text))
-        words += 1 + len(text) // 2
-        if words >= BLOCK_WORDS:
-            yield Index(held)
-            held, words = [], 0
-    yield Index(held)
-
-
 OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and per row did and tid to join by."""
-    spark = docs.sparkSession
-    texts = keyed_texts(docs)
-    blocks = [spark.sparkContext.broadcast(x) for x in benchmark_blocks(benchmark)]
-    if len(blocks) == 1:
-        return texts.mapInArrow(lambda batches: _whole(batches, blocks[0].value), f"did long, tid binary, {OUT}")
-    # Several blocks: each gives its hits, a document's are united.
-    parts = None
-    for b in blocks:
-        part = materialize(texts.mapInArrow(lambda batches, b=b: _partial(batches, b.value), "did long, tid binary, n_words long, hit array<int>, items array<string>"), "leak-hits")
-        parts = part if parts is None else parts.unionByName(part)
-    copies = texts.groupBy("did", "tid").agg(F.count(F.lit(1)).alias("copies"))
-    united = parts.groupBy("did", "tid").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    out = united.join(copies, ["did", "tid"]).withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    doc_id = F.when(F.col("did") != NO_ID, F.col("did"))
-    return out.select("did", "tid", doc_id.alias("doc_id"), "n_words", F.size("hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("hit") > 0).alias("contaminated"))
+    windows = materialize(benchmark_windows(benchmark), "leak-windows")
+    if windows.count() > LOCAL_WINDOWS:
+        return joined_contamination(docs, windows)
+    # Plain values: workers need no class of this library to read them.
+    shipped = docs.sparkSession.sparkContext.broadcast(tuple(local_index(windows)))
+    drop(windows)
+    return keyed_texts(docs).mapInArrow(lambda batches: _whole(batches, Index(*shipped.value)), f"did long, tid binary, {OUT}")
 
 
 def _whole(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
@@ -169,26 +154,53 @@ def _whole(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Recor
             )
 
 
-def _partial(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for c in text_chunks(batch.column("text")):
-            n, hit, found = hits(c.data, c.offsets, index)
-            first = np.concatenate(([0], np.cumsum(n)))
-            at = [np.flatnonzero(hit[a:b]).tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
-            rows = slice(c.lo, c.hi)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("did")[rows], batch.column("tid")[rows], pa.array(n.astype(np.int64)), pa.array(at, type=pa.list_(pa.int32())), pa.array([sorted(found.get(i, ())) for i in range(len(n))], type=pa.list_(pa.string()))],
-                names=["did", "tid", "n_words", "hit", "items"],
-            )
+def likely_windows(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """A row for each document with n_words, and one for each of its windows whose fingerprint the benchmark may have: first word, length, fingerprint, words."""
+
+    def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Fingerprints are least values, whose leading bits are near zero.
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(mix(batch.column("print").to_numpy().view(np.uint64)).view(np.int64))], names=["h"])
+
+    lengths = [r["n"] for r in windows.select("n").distinct().collect()]  # WINDOW of them at most
+    shipped = docs.sparkSession.sparkContext.broadcast(key_filter(windows.select("print").mapInArrow(mixed, "h long")))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["did", "tid", "n_words", "first", "n", "print", "words"]
+        for batch in batches:
+            for c in text_chunks(batch.column("text")):
+                w = find_words(c.data, c.offsets, ALNUM, lower=True)
+                size, doc = c.hi - c.lo, w.doc()
+                yield pa.RecordBatch.from_arrays([batch.column("did")[c.lo : c.hi], batch.column("tid")[c.lo : c.hi], pa.array(np.diff(w.first).astype(np.int64)), *(pa.nulls(size, t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=names)
+                for n in lengths:
+                    at, found = prints(w, n)
+                    some = may_have(shipped.value, mix(found))
+                    at, found = at[some], found[some]
+                    row = pa.array(c.lo + doc[at])
+                    yield pa.RecordBatch.from_arrays([batch.column("did").take(row), batch.column("tid").take(row), pa.nulls(len(at), pa.int64()), pa.array((at - w.first[doc[at]]).astype(np.int32)), pa.array(np.full(len(at), n, dtype=np.int32)), pa.array(found.view(np.int64)), pa.array(spelled(w, at, n), type=pa.binary())], names=names)
+
+    return keyed_texts(docs).mapInArrow(of, "did long, tid binary, n_words long, first int, n int, print long, words binary")
+
+
+def joined_contamination(docs: DataFrame, windows: DataFrame) -> DataFrame:
+    """As find_contamination, for a benchmark that stays a table."""
+    rows = materialize(likely_windows(docs, windows), "leak-likely")
+    shared = rows.filter("n_words is null").join(windows, ["n", "print", "words"]).select("did", "tid", "first", (F.col("first") + F.col("n")).alias("stop"), "items")
+    # Words of a window that no window before it covers.
+    before = Window.partitionBy("did", "tid").orderBy("first", "stop").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = F.greatest(F.lit(0), F.col("stop") - F.greatest("first", F.coalesce(F.max("stop").over(before), F.lit(0))))
+    found = shared.withColumn("fresh", fresh).groupBy("did", "tid").agg(F.sum("fresh").cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    out = rows.filter("n_words is not null").select("did", "tid", "n_words").join(found, ["did", "tid"], "left")
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    return out.select("did", "tid", F.when(F.col("did") != NO_ID, F.col("did")).alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without the contaminated ones."""
-    from .rows import did, tid
-
     # Written out, so that its size is known and few of them are sent to the texts, not the texts to them.
     bad = materialize(find_contamination(docs, benchmark).filter("contaminated").select("did", "tid").distinct(), "leaks")
-    return docs.withColumns({"_did": did(), "_tid": tid()}).join(bad, (F.col("_did") == F.col("did")) & (F.col("_tid") == F.col("tid")), "left_anti").drop("_did", "_tid")
+    return keyed_rows(docs).join(bad, ["did", "tid"], "left_anti").select("row.*")
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

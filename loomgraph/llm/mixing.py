@@ -94,7 +94,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
     text = F.coalesce(F.col("text"), F.lit(""))
     ident = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text.cast("binary")))
     h = F.conv(F.substring(F.md5(ident.cast("binary")), 1, 12), 16, 10).cast("long")
-    keyed = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), h.alias("h"), *([F.struct(*docs.columns).alias("row")] if rows else []))
+    keyed = docs.select(F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"), h.alias("h"), *([F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")] if rows else []))
     keyed = materialize(keyed, "mix-keyed")
     sizes = keyed.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialize(mix_targets(sizes, weights, share, cap), "mix-targets")
@@ -129,7 +129,8 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     keyed, plan = mix_plan(docs, **how)
     taken = keyed.alias("k").join(plan.alias("p"), F.col("k.source").eqNullSafe(F.col("p.source")))
     rows = taken.select(F.col("k.row").alias("_row"), _copies().alias("_copies"))
-    return rows.filter("_copies > 0").select("_row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).select(*docs.columns)
+    copies = rows.filter("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy"))
+    return copies.select("_row.*")
 
 
 def op9_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -243,11 +243,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
 
 def score(spark, text: Column, machine: Machine) -> Column:
     """The score of a text column."""
-    shipped = spark.sparkContext.broadcast(machine)
+    # Plain values: workers need no class of this library to read them.
+    shipped = spark.sparkContext.broadcast(tuple(machine))
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(shipped.value.of_texts(pa.array(texts, type=pa.large_string(), from_pandas=True)))
+        return pd.Series(Machine(*shipped.value).of_texts(pa.array(texts, type=pa.large_string(), from_pandas=True)))
 
     return of(text.cast("string"))
 

@@ -1,4 +1,5 @@
 import hashlib
+import pickle
 import random
 import re
 
@@ -56,10 +57,19 @@ def test_equals_brute_force(spark, extra):
     assert run(spark, rows, items, extra) == sorted(brute(rows, items), key=str)
 
 
-def test_blocks_of_the_benchmark_unite(spark, monkeypatch):
-    rows, items = case(25)
-    monkeypatch.setattr(decontam, "BLOCK_WORDS", 60)
-    assert run(spark, rows, items) == sorted(brute(rows, items), key=str)
+@pytest.mark.parametrize("extra", [False, True])
+def test_a_benchmark_that_stays_a_table(spark, monkeypatch, extra):
+    monkeypatch.setattr(decontam, "LOCAL_WINDOWS", 0)
+    monkeypatch.setattr(decontam, "local_index", None)
+    rows, items = case()
+    assert run(spark, rows, items, extra) == sorted(brute(rows, items), key=str)
+    assert run(spark, [], items) == []
+
+
+def test_what_is_broadcast_needs_no_class_of_the_library(spark):
+    _, items = case(15)
+    windows = decontam.benchmark_windows(spark.createDataFrame(items, "item_id long, text string"))
+    assert b"loomgraph" not in pickle.dumps(tuple(decontam.local_index(windows)))
 
 
 def test_empty_tables(spark):
@@ -74,6 +84,7 @@ def test_query_and_cleaning(spark, tmp_path):
     folder = write_tables(spark, tmp_path, documents=docs, benchmark=bench)
     want = brute(rows, items)
     assert sorted(map(tuple, decontam.op3_decontaminate(spark, folder).collect()), key=str) == sorted(want, key=str)
+    docs = docs.selectExpr("*", "1 as did", "'x' as tid", "2 as row", "3 as _did", "4 as _tid")
     kept = decontam.clean_documents(docs, bench)
     assert kept.columns == docs.columns
     assert kept.count() == sum(not r[5] for r in want)

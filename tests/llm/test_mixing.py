@@ -53,6 +53,7 @@ def test_taken_words_come_near_the_targets(spark):
         by.setdefault((r.source, r.target), []).append(r.taken)
     for (_, target), taken in by.items():
         assert abs(sum(taken) - target) <= 30
+    docs = docs.selectExpr("*", "1 as _copy", "2 as _copies", "3 as row", "4 as h", "5 as size", "6 as full", "7 as cut", "8 as `odd.name`")
     mixed = mixing.mixed_documents(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in got)
 
@@ -61,3 +62,4 @@ def test_one_source_and_empty(spark):
     assert mixing.mix_sources(frame(spark, [])).collect() == []
     got = mixing.mix_sources(frame(spark, [(1, "a b c", "x"), (1, "a b c", "x"), (2, None, "y")])).collect()
     assert sorted((r.doc_id, r.size) for r in got) == [(1, 3), (1, 3), (2, 0)]
+    assert mixing.mixed_documents(frame(spark, [])).collect() == []
