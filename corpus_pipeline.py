@@ -53,6 +53,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = storage.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        storage.release(spark)
+        before, docs = docs, storage.materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        storage.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
