@@ -118,11 +118,24 @@ def member(a: Value, items: list[Value] | None, array: Value) -> Value:
     return boolean(F.coalesce(F.exists(array.col, lambda x: equal(value(x, of), a)), F.lit(False)))
 
 
+def _texts(v: Value) -> Column:
+    """A list's values as texts."""
+    of = v.dtype.elementType
+    return F.transform(v.col, lambda x: render(value(x, of)))
+
+
 def arithmetic(op: str, a: Value, b: Value) -> Value:
     if op == "+" and a.kind == b.kind == "str":
         return Value(F.concat(a.col, b.col), "str", T.StringType())
     if op == "+" and a.kind == b.kind == "list":
-        return Value(F.concat(a.col, b.col), "list", a.dtype)
+        one, other = a.dtype.elementType, b.dtype.elementType
+        if one == other or isinstance(one, T.NullType) or isinstance(other, T.NullType):
+            return Value(F.concat(a.col, b.col), "list", b.dtype if isinstance(one, T.NullType) else a.dtype)
+        if isinstance(one, T.NumericType) and isinstance(other, T.NumericType):
+            both = T.ArrayType(T.DoubleType())
+            return Value(F.concat(a.col.cast(both), b.col.cast(both)), "list", both)
+        # As in a written list, values of several types are texts.
+        return Value(F.concat(_texts(a), _texts(b)), "list", T.ArrayType(T.StringType()))
     if a.kind != "num" or b.kind != "num":
         return null()
     if op == "/":
@@ -153,6 +166,11 @@ def _text(f):
     return lambda v: value(f(v.col.cast("string")), T.StringType())
 
 
+def _end(place: int):
+    """The first or last of a list; null for what is no list."""
+    return lambda v: value(F.try_element_at(v.col, F.lit(place)), v.dtype.elementType) if v.kind == "list" else null()
+
+
 #: Scalar functions of one argument besides size, type and those on nodes.
 FUNCTIONS = {
     "toupper": _text(F.upper),
@@ -163,6 +181,6 @@ FUNCTIONS = {
     "tointeger": _to(T.LongType()),
     "tofloat": _to(T.DoubleType()),
     "tostring": lambda v: Value(render(v), "str", T.StringType()),
-    "head": lambda v: value(F.try_element_at(v.col, F.lit(1)), v.dtype.elementType),
-    "last": lambda v: value(F.try_element_at(v.col, F.lit(-1)), v.dtype.elementType),
+    "head": _end(1),
+    "last": _end(-1),
 }

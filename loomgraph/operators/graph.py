@@ -26,11 +26,27 @@ def node_id(key: Column) -> Column:
     return -F.abs(F.shiftrightunsigned(F.xxhash64(key), 1)) - 1
 
 
+def edge_mark() -> Column:
+    """An edge's seq as text: with type and ends it names one edge, whatever seq's type and also where it is null."""
+    return F.to_json(F.struct("seq"))
+
+
 class Tables(Mapping):
-    """Tables by name; one given as a function is made when it is asked for first."""
+    """Tables by name; one given as a function is made when it is asked for first.
+
+    finders: by name, functions of a column's value (``id=``, ``key=``, ``src=``,
+    ``dst=``) to the rows that have it, restricted before ids and keys are made.
+    """
 
-    def __init__(self, given: Mapping[str, DataFrame | Callable[[], DataFrame]]):
+    def __init__(self, given: Mapping[str, DataFrame | Callable[[], DataFrame]], finders: Mapping[str, Callable[..., DataFrame]] | None = None):
         self.given = given._given() if isinstance(given, Tables) else dict(given)
+        self.finders = dict(finders or (given.finders if isinstance(given, Tables) else {}))
+
+    def find(self, name: str, **values) -> DataFrame:
+        """The rows of a table whose columns have these values."""
+        if name in self.finders:
+            return self.finders[name](**values)
+        return reduce(lambda df, x: df.filter(F.col(x[0]) == x[1]), values.items(), self[name])
 
     def _given(self) -> dict:
         return dict(self.given)
@@ -51,7 +67,7 @@ class Tables(Mapping):
         return len(self.given)
 
     def __or__(self, other: Mapping[str, DataFrame]) -> Tables:
-        return Tables(self._given() | dict(other))
+        return Tables(self._given() | dict(other), {n: f for n, f in self.finders.items() if n not in other})
 
 
 @dataclass(frozen=True)
@@ -100,11 +116,32 @@ class PropertyGraph:
         """id, key, label of every node."""
         return reduce(DataFrame.unionByName, [self.nodes[n].select("id", "key", F.lit(n).alias("label")) for n in sorted(self.nodes)])
 
+    def _found(self, **value) -> DataFrame:
+        return reduce(DataFrame.unionByName, [self.nodes.find(n, **value).select("id", "key", F.lit(n).alias("label")) for n in sorted(self.nodes)])
+
     def node(self, id: int) -> DataFrame:
-        return self.all_nodes().filter(F.col("id") == id)
+        return self._found(id=id)
 
     def node_by_key(self, key: str) -> DataFrame:
-        return self.all_nodes().filter(F.col("key") == key)
+        return self._found(key=key)
+
+    def edge_ids(self, name: str) -> DataFrame:
+        """Edges of a type with ``edge_id``, which ``edge`` and ``delete_edge`` take."""
+        return self.edges_by_type(name).withColumn("edge_id", F.concat_ws("|", F.lit(name), "src", "dst", edge_mark()))
+
+    def edge(self, edge_id: str) -> DataFrame:
+        """The edge with an id, or no row."""
+        name, src, dst, mark = edge_id.split("|", 3)
+        if name not in self.edges:
+            return self.edges_by_type(name)
+        return self.edges.find(name, src=int(src), dst=int(dst)).filter(edge_mark() == mark)
+
+    def delete_edge(self, edge_id: str) -> PropertyGraph:
+        name, src, dst, mark = edge_id.split("|", 3)
+        if name not in self.edges:
+            return self
+        there = (F.col("src") == int(src)) & (F.col("dst") == int(dst)) & (edge_mark() == mark)
+        return replace(self, edges=self.edges | {name: self.edges[name].filter(~there)})
 
     def node_count(self) -> int:
         return self.all_nodes().count()
@@ -116,7 +153,8 @@ class PropertyGraph:
 
     def neighbors(self, id: int, types: Iterable[str] = (), direction: str = "out") -> DataFrame:
         """id of each distinct neighbour."""
-        return paths.pairs(self, types, direction).filter(F.col("s") == id).select(F.col("t").alias("id"))
+        parts = [self.edges.find(n, **{a: id}).select(F.col(b).alias("id")) for n in paths.edge_types(self, types) for _, a, b in paths._sides(direction)]
+        return reduce(DataFrame.unionByName, parts).distinct() if parts else self.spark.createDataFrame([], "id bigint")
 
     def traverse(self, start: int, types: Iterable[str] = (), direction: str = "out", least: int = 1, most: int | None = None) -> DataFrame:
         """id, depth of the nodes whose distance lies in least..most; not the start."""
@@ -130,18 +168,21 @@ class PropertyGraph:
         return list(row["path"]) if row else None
 
     def find_edge(self, source: int, target: int, types: Iterable[str] = (), direction: str = "out") -> DataFrame:
-        """The first edge between two nodes, outgoing ones first."""
-        return paths.first_edges(self, types, direction, None).filter((F.col("s") == source) & (F.col("t") == target))
+        """s, t, e: the first edge between two nodes, outgoing ones first."""
+        names, ends = paths.edge_types(self, types), [(source, target)] * (direction != "in") + [(target, source)] * (direction == "in" or (direction == "both" and source != target))
+        tables = {n: reduce(DataFrame.unionByName, [self.edges.find(n, src=a, dst=b) for a, b in ends]) for n in names}
+        near = replace(self, edges=Tables(tables))
+        return paths.first_edges(near, names, direction, None).filter((F.col("s") == source) & (F.col("t") == target)) if names else paths.first_edges(self, ["-"], direction, None)
 
     # Mutations
 
     def upsert_nodes(self, label: str, rows: DataFrame) -> PropertyGraph:
-        """Merge rows (key, properties, optionally seq) by key; a null leaves a property as it was."""
+        """Merge rows (key, properties, optionally seq) by key; a null leaves a property as it was, and of values with the same seq the greatest counts."""
         if label not in self.nodes:
             raise ValueError(f"unknown node type {label!r}")
         names = [c for c in rows.columns if c not in ("key", "seq")]
         at = F.col("seq") if "seq" in rows.columns else F.lit(0)
-        last = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), *[F.max_by(F.struct(F.col(c).alias("v")), F.when(F.col(c).isNotNull(), at)).alias(c) for c in names]).drop("_n")
+        last = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), *[F.max_by(F.struct(F.col(c).alias("v")), F.when(F.col(c).isNotNull(), F.struct(at, F.col(c)))).alias(c) for c in names]).drop("_n")
         clash = last.select("key").join(self.all_nodes().filter(F.col("label") != label), "key", "left_semi").limit(1).collect()
         if clash:
             raise ValueError(f"key {clash[0]['key']!r} belongs to a node of another type")
@@ -183,14 +224,15 @@ class PropertyGraph:
         return replace(self, nodes=nodes, edges=edges)
 
     def delete_edges(self, name: str, rows: DataFrame) -> PropertyGraph:
-        """Drop the edges with the (src, dst, seq) of rows."""
+        """Drop the edges with the (src, dst, seq) of rows; or with ``mark``, see ``edge_mark``, in place of seq."""
         old = self.edges[name]
-        return replace(self, edges=self.edges | {name: old.join(rows.select(*EDGE_COLUMNS).distinct(), list(EDGE_COLUMNS), "left_anti").select(*old.columns)})
+        gone = rows.select("src", "dst", F.col("mark") if "mark" in rows.columns else edge_mark().alias("mark")).distinct()
+        return replace(self, edges=self.edges | {name: old.withColumn("mark", edge_mark()).join(gone, ["src", "dst", "mark"], "left_anti").select(*[F.col(f"`{c}`") for c in old.columns])})
 
     def set_property(self, label: str, name: str, rows: DataFrame) -> PropertyGraph:
-        """Set a property from rows (id, value); null is a value."""
+        """Set a property from rows (id, value); null is a value, and of several for a node the greatest counts."""
         old = self.nodes[label]
-        new = rows.groupBy("id").agg(F.first(F.struct("value")).alias("new"))
+        new = rows.groupBy("id").agg(F.max(F.struct("value")).alias("new"))
         kind = old.schema[name].dataType if name in old.columns else rows.schema["value"].dataType
         before = F.col(name) if name in old.columns else F.lit(None)
         at = F.when(F.col("new").isNotNull(), F.col("new.value")).otherwise(before).cast(kind)

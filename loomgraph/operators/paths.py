@@ -43,14 +43,14 @@ def _union(parts: list[DataFrame], empty: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else empty
 
 
-def pairs(graph: PropertyGraph, types: Iterable[str] = (), direction: str = "out", labels=(None, None), starts: DataFrame | None = None) -> DataFrame:
-    """Distinct neighbour pairs (s, t). starts: the s that matter (column s)."""
+def pairs(graph: PropertyGraph, types: Iterable[str] = (), direction: str = "out", labels=(None, None), starts: DataFrame | None = None, repeated: bool = False) -> DataFrame:
+    """Distinct neighbour pairs (s, t), or a row per edge if they may be repeated. starts: the s that matter (column s)."""
     names = edge_types(graph, types, labels, direction)
     parts = [graph.edges[n].select(F.col(a).alias("s"), F.col(b).alias("t")) for n in names for _, a, b in _sides(direction)]
     if starts is not None:
         parts = [p.join(starts, "s", "left_semi") for p in parts]
     out = _union(parts, graph.spark.createDataFrame([], PAIR))
-    return out if len(parts) == 1 and names[0] in graph.unique else out.distinct()
+    return out if repeated or (len(parts) == 1 and names[0] in graph.unique) else out.distinct()
 
 
 def common_types(tables: Sequence[DataFrame], names: Iterable[str]) -> dict[str, T.DataType]:
@@ -63,11 +63,12 @@ def common_types(tables: Sequence[DataFrame], names: Iterable[str]) -> dict[str,
     return out
 
 
-def first_edges(graph: PropertyGraph, types: Iterable[str], direction: str, props: Iterable[str] | None, labels=(None, None), keep=None, every: bool = False, starts: DataFrame | None = None) -> DataFrame:
+def first_edges(graph: PropertyGraph, types: Iterable[str], direction: str, props: Iterable[str] | None, labels=(None, None), keep=None, every: bool = False, starts: DataFrame | None = None, marks: bool = False) -> DataFrame:
     """s, t, e: for each pair its first edge, by types as listed, outgoing ones first, then by seq.
 
-    e has _type, _src, _dst and the properties of ``props`` (None: all). keep: a
-    function of (edge table) to a condition on edges. every: a row per edge.
+    e has _type, _src, _dst and the properties of ``props`` (None: all), with
+    ``marks`` also _mark, which names the edge. keep: a function of (edge table)
+    to a condition on edges. every: a row per edge.
     """
     names = edge_types(graph, types, labels, direction)
     tables = [graph.edges[n] for n in names]
@@ -76,7 +77,7 @@ def first_edges(graph: PropertyGraph, types: Iterable[str], direction: str, prop
     parts = []
     for i, (name, table) in enumerate(zip(names, tables, strict=True)):
         rows = table if keep is None else table.filter(keep(table))
-        fields = [F.lit(name).alias("_type"), F.col("src").alias("_src"), F.col("dst").alias("_dst"), *[(F.col(c) if c in table.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()]]
+        fields = [F.lit(name).alias("_type"), F.col("src").alias("_src"), F.col("dst").alias("_dst"), *([F.to_json(F.struct("seq")).alias("_mark")] if marks else []), *[(F.col(c) if c in table.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()]]
         sides = [rows.select(F.col(a).alias("s"), F.col(b).alias("t"), F.struct(*fields).alias("e"), F.struct(F.lit(side).alias("side"), "seq").alias("o")) for side, a, b in _sides(direction)]
         if starts is not None:
             sides = [x.join(starts, "s", "left_semi") for x in sides]
@@ -101,7 +102,8 @@ def reachable(graph: PropertyGraph, starts: DataFrame, types: Iterable[str], dir
     are one plan; beyond that each level is written out.
     """
     starts = starts.select("s").distinct()
-    step = pairs(graph, types, direction).select(F.col("s").alias("m"), F.col("t").alias("n"))
+    # What a level reaches is made distinct after the join, so edges needn't be.
+    step = pairs(graph, types, direction, repeated=True).select(F.col("s").alias("m"), F.col("t").alias("n"))
     level = starts.select("s", F.col("s").alias("t"))
 
     def onward(at: DataFrame) -> DataFrame:
@@ -134,30 +136,39 @@ def reachable(graph: PropertyGraph, starts: DataFrame, types: Iterable[str], dir
 def shortest(graph: PropertyGraph, ends: DataFrame, types: Iterable[str] = (), direction: str = "both", most: int | None = None) -> DataFrame:
     """s, t, path: a shortest path for each pair of ends (columns s, t) that has one.
 
-    All sources advance together, one node each way; of equally short paths the
-    one with the least ids counts.  Pairs that are found leave the search.
+    All sources advance together, one edge a level, and a source stops when its
+    last end is found.  A level keeps for each node that it reaches the least of
+    the nodes before it; only the paths of found ends are put together, from their
+    ends back.
     """
     ends = cut_lineage(ends.select("s", "t").distinct(), "ends")
-    level = ends.select("s", F.col("s").alias("t"), F.array("s").alias("path")).distinct()
-    step = cut_lineage(pairs(graph, types, direction).select(F.col("s").alias("m"), F.col("t").alias("n")), "edges")
-    level, depth = cut_lineage(level, "level"), 0
-    seen = level.select("s", "t")
-    found: list[DataFrame] = []
+    step = cut_lineage(pairs(graph, types, direction, repeated=True).select(F.col("s").alias("m"), F.col("t").alias("n")), "edges")
+    levels = [cut_lineage(ends.select("s", F.col("s").alias("t"), F.lit(None).cast("long").alias("before")).distinct(), "level")]
+    seen, open_ = levels[0].select("s", "t"), ends
     while True:
-        found.append(cut_lineage(level.join(ends, ["s", "t"]).select("s", "t", "path"), "found"))
-        ends = cut_lineage(ends.join(found[-1], ["s", "t"], "left_anti"), "ends")
-        if (most is not None and depth >= most) or depth >= MOST_LEVELS or ends.isEmpty():
+        open_ = open_.join(levels[-1].select("s", "t"), ["s", "t"], "left_anti")
+        if (most is not None and len(levels) > most) or len(levels) > MOST_LEVELS:
             break
-        live = level.join(ends.select("s").distinct(), "s", "left_semi")
-        new = live.join(step, F.col("t") == F.col("m")).select("s", F.col("n").alias("t"), F.concat("path", F.array("n")).alias("path"))
-        new = new.join(seen, ["s", "t"], "left_anti").groupBy("s", "t").agg(F.min("path").alias("path"))
-        level, depth = cut_lineage(new, "level"), depth + 1
+        if len(levels) % 8 == 0:
+            seen, open_ = cut_lineage(seen, "seen"), cut_lineage(open_, "open")
+        live = levels[-1].join(open_.select("s").distinct(), "s", "left_semi").select("s", F.col("t").alias("m"))
+        reached = live.join(step, "m").groupBy("s", F.col("n").alias("t")).agg(F.min("m").alias("before"))
+        # Without open ends nothing is live, and the level is empty.
+        level = cut_lineage(reached.join(seen, ["s", "t"], "left_anti"), "level")
         if level.isEmpty():
             break
+        levels.append(level)
         seen = seen.unionByName(level.select("s", "t"))
-        if depth % 16 == 0:
-            seen = cut_lineage(seen, "seen")
-    return reduce(DataFrame.unionByName, found)
+    back = None
+    for depth in range(len(levels) - 1, -1, -1):
+        own = ends.join(levels[depth], ["s", "t"]).select("s", "t", F.array("t").alias("path"), "before")
+        if back is not None:
+            # One node further back.
+            at = levels[depth].select(F.col("s").alias("_s"), F.col("t").alias("_t"), F.col("before").alias("_before"))
+            moved = back.join(at, (F.col("s") == F.col("_s")) & (F.col("before") == F.col("_t"))).select("s", "t", F.concat(F.array("before"), "path").alias("path"), F.col("_before").alias("before"))
+            own = own.unionByName(moved)
+        back = cut_lineage(own, "back") if depth % 8 == 7 else own
+    return back.select("s", "t", "path")
 
 
 def names_on(graph: PropertyGraph, found: DataFrame, prop: str = "name") -> DataFrame:

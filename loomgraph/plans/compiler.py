@@ -14,6 +14,7 @@ to it before they are deduplicated.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields, is_dataclass, replace
 from functools import reduce
@@ -30,6 +31,10 @@ from . import ast as A
 from .parser import QueryError, parse
 
 AGGREGATES = {"count", "collect", "sum", "avg", "min", "max"}
+#: A named path: its nodes, with their properties as JSON.
+PATH = T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("key", T.StringType()), T.StructField("label", T.StringType()), T.StructField("properties", T.StringType())]))
+#: Fields of an edge that aren't properties.
+OWN = ("_type", "_src", "_dst", "_mark")
 
 
 @dataclass(frozen=True)
@@ -40,8 +45,11 @@ class Node:
 
 @dataclass(frozen=True)
 class Edge:
+    """marked: there is a column that names the edge itself, for deletion."""
+
     types: tuple[str, ...]
     props: dict[str, T.DataType]
+    marked: bool = False
 
 
 @dataclass(frozen=True)
@@ -80,6 +88,9 @@ class Compiler:
         self.result: DataFrame | None = None
         self.fresh = 0
         self.used = self._used(query)
+        #: Variables whose id or key the WHERE of their MATCH names.
+        self.pinned: dict[str, dict[str, Any]] = {}
+        self.deleted = {n for x in walk(query) if isinstance(x, A.Delete) for n in x.names}
 
     @staticmethod
     def _used(query: A.Query) -> dict[str, set[str] | None]:
@@ -244,7 +255,7 @@ class Compiler:
         if isinstance(var, (Node, Edge)) and name in ("properties", "keys"):
             return self.whole(own) if name == "properties" else S.value(F.array(*[F.lit(p) for p in sorted(var.props)]), T.ArrayType(T.StringType()))
         if name == "nodes":
-            return S.null()
+            return v(e.args[0]) if isinstance(var, Scalar) and var.dtype == PATH else S.null()
         if name == "size":
             return S.size(v(e.args[0]))
         if name == "coalesce" and e.args:
@@ -295,7 +306,7 @@ class Compiler:
         wanted = self.used.get(name, set())
         wanted = wanted if wanted is None else wanted | {k for k, _ in pattern.props}
         every = sorted({p for n in labels for p in self.graph.node_properties(n)})
-        tables = [self.graph.nodes[n] for n in labels]
+        tables = [self.graph.nodes.find(n, **self.pinned[name]) if name in self.pinned else self.graph.nodes[n] for n in labels]
         kinds = paths.common_types(tables, [p for p in every if wanted is None or p in wanted])
         parts = [t.select(F.col("id").alias(f"{name}__id"), F.col("key").alias(f"{name}__key"), F.lit(n).alias(f"{name}__label"), *[(F.col(f"`{p}`") if p in t.columns else F.lit(None)).cast(k).alias(f"{name}__p_{p}") for p, k in kinds.items()]) for n, t in zip(labels, tables, strict=True)]
         self.scope[name] = Node(tuple(labels), kinds)
@@ -319,6 +330,8 @@ class Compiler:
 
     def match_path(self, path: A.Path, restricted: set[str]) -> None:
         nodes = [n.var or self.name() for n in path.nodes]
+        if path.var:
+            self.used |= dict.fromkeys(nodes)
         at = next((i for i, n in enumerate(nodes) if n in self.scope), None)
         if at is None:
             # Begin where something is known about the node.
@@ -336,10 +349,10 @@ class Compiler:
         for i in range(at - 1, -1, -1):
             self.expand(nodes[i + 1], path.rels[i], back[path.rels[i].direction], nodes[i], path.nodes[i], known and at == len(path.rels))
         if path.var:
-            items = [self.whole(n) for n in nodes] if not any(r.variable for r in path.rels) else []
-            out = self.list([S.Value(F.to_json(x.col), "str", T.StringType()) for x in items])
-            self.df = self.df.withColumn(f"{path.var}__val", out.col)
-            self.scope[path.var] = Scalar(out.dtype)
+            # The pattern's own nodes; those that a variable length passes aren't bound.
+            parts = [F.struct(F.col(f"{n}__id").alias("id"), F.col(f"{n}__key").alias("key"), F.col(f"{n}__label").alias("label"), F.to_json(self.whole(n).col).alias("properties")) for n in nodes]
+            self.df = self.df.withColumn(f"{path.var}__val", F.array(*parts))
+            self.scope[path.var] = Scalar(PATH)
 
     def allowed(self, path: A.Path, at: int) -> set[str] | None:
         """Labels that the schema allows at a place of a path, from its next relationship."""
@@ -383,14 +396,14 @@ class Compiler:
                     out = out & (S.equal(S.value(F.col(k), table.schema[k].dataType), self.value(e)) if k in table.columns else F.lit(False))
                 return out
 
-            hops = paths.first_edges(self.graph, rel.types, direction, wanted, labels, keep if rel.props else None, self.multigraph, starts)
+            hops = paths.first_edges(self.graph, rel.types, direction, wanted, labels, keep if rel.props else None, self.multigraph, starts, rel.var in self.deleted)
             edge = hops.schema["e"].dataType
         else:
             hops = paths.pairs(self.graph, rel.types, direction, labels, starts)
         s, t = self.name(), self.name()
         columns = [F.col("s").alias(s), F.col("t").alias(t)]
         if edge is not None and rel.var:
-            columns += [F.col(f"e.`{f}`").alias(f"{rel.var}_{f}" if f in ("_type", "_src", "_dst") else f"{rel.var}__p_{f}") for f in edge.names]
+            columns += [F.col(f"e.`{f}`").alias(f"{rel.var}_{f}" if f in OWN else f"{rel.var}__p_{f}") for f in edge.names]
         elif rel.variable and rel.var:
             columns.append(F.col("path").alias(f"{rel.var}__val"))
         hops = hops.select(*columns)
@@ -401,7 +414,7 @@ class Compiler:
             rows = self.scan(b, pattern, None if pattern.labels or rel.variable else self.ends(rel.types, direction)[1])
             self.df = self.df.join(hops, F.col(f"{a}__id") == F.col(s)).join(rows, F.col(t) == F.col(f"{b}__id")).drop(s, t)
         if rel.var:
-            self.scope[rel.var] = Scalar(T.StringType()) if rel.variable else Edge(tuple(paths.edge_types(self.graph, rel.types)), {f.name: f.dataType for f in edge.fields if f.name not in ("_type", "_src", "_dst")})
+            self.scope[rel.var] = Scalar(T.StringType()) if rel.variable else Edge(tuple(paths.edge_types(self.graph, rel.types)), {f.name: f.dataType for f in edge.fields if f.name not in OWN}, "_mark" in edge.names)
 
     # Clauses
 
@@ -417,6 +430,10 @@ class Compiler:
         for part in conjuncts(where):
             if len(names := names_in(part)) == 1:
                 restricted |= names
+            if isinstance(part, A.Binary) and part.op == "=" and isinstance(part.left, A.Call) and isinstance(part.right, A.Literal) and len(part.left.args) == 1 and isinstance(part.left.args[0], A.Name):
+                what, name = part.left.name.lower(), part.left.args[0].name
+                if name not in self.scope and ((what == "key" and isinstance(part.right.value, str)) or (what == "id" and type(part.right.value) is int)):
+                    self.pinned[name] = {what: part.right.value}
         for path in c.paths:
             self.match_path(path, restricted)
         if where is not None:
@@ -452,7 +469,7 @@ class Compiler:
         var = self.scope[name]
         if isinstance(var, Scalar):
             return [f"{name}__val"]
-        head = ("id", "key", "label") if isinstance(var, Node) else ("type", "src", "dst")
+        head = ("id", "key", "label") if isinstance(var, Node) else ("type", "src", "dst", "mark") if var.marked else ("type", "src", "dst")
         return [f"{name}__{x}" for x in head] + [f"{name}__p_{p}" for p in var.props]
 
     def identity(self, name: str) -> list[str]:
@@ -630,7 +647,8 @@ class Compiler:
         bound = [F.col(x) for n in self.scope for x in self.identity(n)]
         table = self.graph.edges[name]
         seq = table.schema["seq"].dataType
-        order = F.abs(F.shiftrightunsigned(F.xxhash64(*bound), 1)) if isinstance(seq, T.LongType) else F.lit(None)
+        # Edges of later statements come later, and each has a place of its own.
+        order = F.lit((time.time_ns() // 1_000_000) << 20) + F.pmod(F.xxhash64(*bound), F.lit(1 << 20)) if isinstance(seq, T.LongType) else F.lit(None)
         rows = self.df.select(F.col(f"{a}__id").alias("src"), F.col(f"{b}__id").alias("dst"), order.cast(seq).alias("seq"), *[self.value(x).col.alias(k) for k, x in rel.props])
         self.graph = self.graph.add_edges(name, rows)
 
@@ -656,10 +674,8 @@ class Compiler:
                 self.graph = self.graph.delete_nodes(self.df.select(F.col(f"{name}__id").alias("id")).filter("id is not null"))
             elif isinstance(var, Edge):
                 for t in var.types:
-                    # All edges of the pair: a variable stands for the first of them.
-                    ends = self.df.filter(F.col(f"{name}__type") == t).select(F.col(f"{name}__src").alias("src"), F.col(f"{name}__dst").alias("dst"))
-                    first = self.graph.edges[t].join(ends.distinct(), ["src", "dst"], "left_semi").groupBy("src", "dst").agg(F.min("seq").alias("seq"))
-                    self.graph = self.graph.delete_edges(t, first)
+                    bound = self.df.filter(F.col(f"{name}__type") == t)
+                    self.graph = self.graph.delete_edges(t, bound.select(*[F.col(f"{name}__{x}").alias(x) for x in ("src", "dst", "mark")]))
 
 
 def compile_query(graph: PropertyGraph, text: str, compat: bool = False, multigraph: bool = False) -> tuple[PropertyGraph, DataFrame]:

@@ -12,9 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sources.sinks import as_strings
 from .sources.store import GraphStore
-from .sources.tables import PLACES, business_graph
-from .streaming.ingest import apply_batch
+from .sources.tables import LABELS, PLACES, business_graph
+from .streaming.ingest import apply_batch, start_stream
 
 #: Name: (graph query, SQL).
 CYPHER: dict[str, tuple[str, str]] = {
@@ -39,7 +40,7 @@ CYPHER: dict[str, tuple[str, str]] = {
         "SELECT count(*) AS n FROM customer c LEFT JOIN (SELECT user_id, min(value) AS v FROM events GROUP BY 1) e ON e.user_id = c.c_custkey WHERE e.v IS NULL OR e.v < 0.5",
     ),
     "where_in": ("MATCH (c:Customer) WHERE c.mktsegment IN ['BUILDING', 'MACHINERY', null] RETURN count(c) AS n", "SELECT count(*) AS n FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') OR c_mktsegment IS NULL"),
-    "where_contains": ("MATCH (p:Part) WHERE p.name CONTAINS '1' RETURN p.partkey AS partkey", "SELECT p_partkey AS partkey FROM part WHERE contains(p_name, '1')"),
+    "where_contains": ("MATCH (p:Part) WHERE p.name CONTAINS 'dge' RETURN p.partkey AS partkey", "SELECT p_partkey AS partkey FROM part WHERE contains(p_name, 'dge')"),
     "where_starts_ends": ("MATCH (c:Customer) WHERE c.name STARTS WITH 'Customer' AND c.name ENDS WITH '7' RETURN c.name AS name", "SELECT c_name AS name FROM customer WHERE starts_with(c_name, 'Customer') AND ends_with(c_name, '7')"),
     "is_null": ("MATCH (n:Nation) WHERE n.population IS NULL AND n.name IS NOT NULL RETURN n.name AS name", "SELECT n_name AS name FROM nation WHERE n_name IS NOT NULL"),
     "hop_out": ("MATCH (c:Customer)-[:LIVES_IN]->(n:Nation) RETURN n.name AS nation, count(c) AS customers", "SELECT n_name AS nation, count(*) AS customers FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1"),
@@ -104,7 +105,26 @@ CYPHER: dict[str, tuple[str, str]] = {
     "agg_nested": ("MATCH (o:Order) RETURN o.status AS status, count(*) * 2 + 1 AS n", "SELECT o_orderstatus AS status, count(*) * 2 + 1 AS n FROM orders GROUP BY 1"),
     "agg_no_rows": ("MATCH (o:Order) WHERE o.orderkey < 0 RETURN count(*) AS n, sum(o.totalprice) AS s, avg(o.totalprice) AS a", "SELECT 0::BIGINT AS n, 0.0::DOUBLE AS s, NULL::DOUBLE AS a"),
     "return_distinct": ("MATCH (o:Order) RETURN DISTINCT o.status AS status, o.priority AS priority", "SELECT DISTINCT o_orderstatus AS status, o_orderpriority AS priority FROM orders"),
-    "return_node": ("MATCH (r:Region) RETURN r.name AS name, tostring(size(keys(r))) AS n", "SELECT r_name AS name, '1' AS n FROM region"),
+    "null_order": (
+        "MATCH (r:Region) OPTIONAL MATCH (r)<-[:IN_REGION]-(n:Nation) WHERE n.name ENDS WITH '_1' RETURN r.name AS region, n.name AS nation ORDER BY nation, region LIMIT 4",
+        "SELECT r_name AS region, n_name AS nation FROM region LEFT JOIN nation ON n_regionkey = r_regionkey AND ends_with(n_name, '_1') ORDER BY nation NULLS FIRST, region LIMIT 4",
+    ),
+    "named_path": (
+        "MATCH p = (n:Nation)-[:IN_REGION]->(r:Region) RETURN n.name AS nation, [x IN nodes(p) | x.label] AS labels, [x IN nodes(p) | x.properties] AS properties, size(p) AS n",
+        """SELECT n_name AS nation, ['Nation', 'Region'] AS labels, ['{"name":"' || n_name || '"}', '{"name":"' || r_name || '"}'] AS properties, 2::BIGINT AS n FROM nation JOIN region ON r_regionkey = n_regionkey""",
+    ),
+    "line_comment": ("MATCH (r:Region) -- every region\nRETURN count(*) AS n // and no more", "SELECT count(*) AS n FROM region"),
+    "bench_traversal": (
+        "MATCH (s:Supplier)-[r:SUPPLIES]->(p:Part) WHERE s.suppkey = 3 RETURN s.name AS supplier, r.quantity AS quantity, p.name AS part",
+        """SELECT s_name AS supplier, l_quantity AS quantity, p_name AS part FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn FROM lineitem WHERE l_suppkey = 3)
+        JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE rn = 1""",
+    ),
+    "bench_aggregation": (
+        "MATCH (s:Supplier)-[r:SUPPLIES]->(p:Part) RETURN s.name AS supplier, count(p) AS parts, sum(r.quantity) AS quantity",
+        """SELECT s_name AS supplier, count(*) AS parts, sum(l_quantity) AS quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn FROM lineitem)
+        JOIN supplier ON s_suppkey = l_suppkey WHERE rn = 1 GROUP BY 1""",
+    ),
+    "bench_lookup": ("MATCH (c:Customer) WHERE c.custkey = 42 RETURN c.name AS name", "SELECT c_name AS name FROM customer WHERE c_custkey = 42"),
     "order_skip_limit": ("MATCH (c:Customer) RETURN c.name AS name, c.acctbal AS bal ORDER BY c.acctbal DESC, name SKIP 5 LIMIT 10", "SELECT c_name AS name, c_acctbal AS bal FROM customer ORDER BY c_acctbal DESC, c_name LIMIT 10 OFFSET 5"),
     "top_k": ("MATCH (c:Customer)-[:PLACED]->(o:Order) RETURN c.name AS name, sum(o.totalprice) AS total ORDER BY total DESC, name LIMIT 7", "SELECT c_name AS name, sum(o_totalprice) AS total FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 7"),
     "with_filter": ("MATCH (p:Part) WITH p.brand AS brand, p.size * 2 AS twice WHERE twice > 60 RETURN brand, twice", "SELECT p_brand AS brand, p_size::BIGINT * 2 AS twice FROM part WHERE p_size * 2 > 60"),
@@ -140,6 +160,26 @@ CYPHER: dict[str, tuple[str, str]] = {
         """WITH RECURSIVE e0 AS (SELECT o1.o_custkey AS s, o2.o_custkey AS t FROM orders o1 JOIN orders o2 ON o2.o_orderkey = o1.o_orderkey + 1), e AS (SELECT s, t FROM e0 UNION SELECT t, s FROM e0),
         r(n, d) AS (SELECT CAST(7 AS BIGINT), 0 UNION SELECT e.t, r.d + 1 FROM r JOIN e ON e.s = r.n WHERE r.d < 2) SELECT n AS custkey FROM r GROUP BY n HAVING min(d) BETWEEN 1 AND 2""",
     ),
+    "varlen_upto_2": (
+        "MATCH (a:Customer {custkey: 7})-[:FOLLOWED_BY*..2]->(b) RETURN b.custkey AS custkey",
+        """WITH RECURSIVE e AS (SELECT DISTINCT o1.o_custkey AS s, o2.o_custkey AS t FROM orders o1 JOIN orders o2 ON o2.o_orderkey = o1.o_orderkey + 1),
+        r(n, d) AS (SELECT CAST(7 AS BIGINT), 0 UNION SELECT e.t, r.d + 1 FROM r JOIN e ON e.s = r.n WHERE r.d < 2) SELECT n AS custkey FROM r GROUP BY n HAVING min(d) BETWEEN 1 AND 2""",
+    ),
+    "varlen_0_2": (
+        "MATCH (a:Customer {custkey: 7})-[:FOLLOWED_BY*0..2]->(b) RETURN b.custkey AS custkey",
+        """WITH RECURSIVE e AS (SELECT DISTINCT o1.o_custkey AS s, o2.o_custkey AS t FROM orders o1 JOIN orders o2 ON o2.o_orderkey = o1.o_orderkey + 1),
+        r(n, d) AS (SELECT CAST(7 AS BIGINT), 0 UNION SELECT e.t, r.d + 1 FROM r JOIN e ON e.s = r.n WHERE r.d < 2) SELECT n AS custkey FROM r WHERE n <> 7 GROUP BY n HAVING min(d) <= 2""",
+    ),
+    "varlen_edge_var": (
+        "MATCH (a:Customer {custkey: 7})-[r:FOLLOWED_BY*1..2]->(b) RETURN b.custkey AS custkey, r AS r",
+        """WITH RECURSIVE e AS (SELECT DISTINCT o1.o_custkey AS s, o2.o_custkey AS t FROM orders o1 JOIN orders o2 ON o2.o_orderkey = o1.o_orderkey + 1),
+        r(n, d) AS (SELECT CAST(7 AS BIGINT), 0 UNION SELECT e.t, r.d + 1 FROM r JOIN e ON e.s = r.n WHERE r.d < 2) SELECT n AS custkey, 'path' AS r FROM r GROUP BY n HAVING min(d) BETWEEN 1 AND 2""",
+    ),
+    "varlen_to_bound": (
+        "MATCH (a:Customer {custkey: 7}), (b:Customer) WHERE b.custkey < 30 MATCH (a)-[:FOLLOWED_BY*1..3]->(b) RETURN b.custkey AS custkey",
+        """WITH RECURSIVE e AS (SELECT DISTINCT o1.o_custkey AS s, o2.o_custkey AS t FROM orders o1 JOIN orders o2 ON o2.o_orderkey = o1.o_orderkey + 1),
+        r(n, d) AS (SELECT CAST(7 AS BIGINT), 0 UNION SELECT e.t, r.d + 1 FROM r JOIN e ON e.s = r.n WHERE r.d < 3) SELECT n AS custkey FROM r WHERE n < 30 GROUP BY n HAVING min(d) BETWEEN 1 AND 3""",
+    ),
     "varlen_unbounded": (
         "MATCH (t:Turn {conv: 3, turn: 0})-[:NEXT*]->(u) RETURN u.turn AS turn",
         "SELECT turn FROM conversations WHERE conv_id = 3 AND turn > 0",
@@ -150,8 +190,13 @@ CYPHER: dict[str, tuple[str, str]] = {
         "SELECT count(*) + 1 + (CASE WHEN count(*) FILTER (r_regionkey = 0) = 0 THEN 1 ELSE 0 END) AS n FROM region",
     ),
     "create_edge": (
-        "MATCH (a:Nation), (b:Region) WHERE a.name = b.name CREATE (a)-[:IN_REGION]->(b) WITH a MATCH (x:Nation)-[:IN_REGION]->(y:Region) RETURN count(*) AS n",
-        "SELECT count(*) AS n FROM nation, region, (SELECT count(*) AS c FROM nation, region WHERE n_name = r_name) WHERE n_regionkey = r_regionkey AND c > 0",
+        "MATCH (c:Customer {custkey: 7}), (o:Order {orderkey: 1}) CREATE (c)-[:PLACED]->(o) WITH c MATCH (c)-[:PLACED]->(x:Order) RETURN x.orderkey AS orderkey",
+        "SELECT o_orderkey AS orderkey FROM orders WHERE o_custkey = 7 UNION SELECT o_orderkey FROM orders, customer WHERE o_orderkey = 1 AND c_custkey = 7",
+    ),
+    "delete_edge_by_property": (
+        "MATCH (o:Order)-[r:CONTAINS {linenumber: 2}]->(p:Part) DELETE r WITH count(*) AS gone MATCH (o:Order)-[r:CONTAINS]->(p:Part) RETURN r.linenumber AS linenumber, count(*) AS n",
+        """WITH x AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) AS k FROM lineitem)
+        SELECT l_linenumber::BIGINT AS linenumber, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber, k) AS rn FROM x WHERE NOT (l_linenumber = 2 AND k = 1)) WHERE rn = 1 GROUP BY 1""",
     ),
     "set_property": (
         "MATCH (n:Nation) SET n.name = toLower(n.name) WITH n MATCH (m:Nation) RETURN DISTINCT m.name AS name",
@@ -181,13 +226,51 @@ def neighbors_api(spark: SparkSession, folder: str) -> DataFrame:
     return business_graph(spark, folder).neighbors(_customer(7), ["PLACED"], "out").select(F.shiftright("id", 5).alias("orderkey"))
 
 
-def find_edge_api(spark: SparkSession, folder: str) -> DataFrame:
+def edge_scan_api(spark: SparkSession, folder: str) -> DataFrame:
     graph = business_graph(spark, folder)
     return graph.edges_by_type("SUPPLIES").groupBy("src").agg(F.count(F.lit(1)).alias("n")).select(F.shiftright("src", 5).alias("suppkey"), "n")
 
 
+def find_edge_api(spark: SparkSession, folder: str) -> DataFrame:
+    """The first edge between the supplier and the part of the first line item."""
+    one = spark.read.parquet(f"{folder}/lineitem.parquet").orderBy("l_orderkey", "l_linenumber").select("l_suppkey", "l_partkey").first()
+    ids = [one[0] * LABELS + PLACES["Supplier"], one[1] * LABELS + PLACES["Part"]]
+    return business_graph(spark, folder).find_edge(*ids, ["SUPPLIES"]).select("e.quantity", "e.price")
+
+
+def edge_by_id(spark: SparkSession, folder: str) -> DataFrame:
+    """A customer's edge, found again by its id."""
+    graph = business_graph(spark, folder)
+    own = graph.edge_ids("LIVES_IN").filter(F.col("src") == _customer(7)).first()["edge_id"]
+    return graph.edge(own).select(F.shiftright("src", 5).alias("custkey"), F.shiftright("dst", 5).alias("nationkey"))
+
+
+def node_by_id(spark: SparkSession, folder: str) -> DataFrame:
+    return business_graph(spark, folder).node(_customer(7)).select("key", "label")
+
+
+def return_node(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole nodes, as the texts that clients get."""
+    return as_strings(business_graph(spark, folder).cypher("MATCH (r:Region) RETURN r, r.name AS name"))
+
+
+def delete_edges_multigraph(spark: SparkSession, folder: str) -> DataFrame:
+    """Every parallel edge of a supplier deleted."""
+    graph, _ = business_graph(spark, folder).execute("MATCH (s:Supplier {suppkey: 3})-[r:SUPPLIES]->(p:Part) DELETE r", multigraph=True)
+    return graph.edges["SUPPLIES"].groupBy("src").agg(F.count(F.lit(1)).alias("n")).select(F.shiftright("src", 5).alias("suppkey"), "n")
+
+
 def counts_api(spark: SparkSession, folder: str) -> DataFrame:
     graph = business_graph(spark, folder)
+    return spark.createDataFrame([(graph.node_count(), graph.edge_count())], "nodes bigint, edges bigint")
+
+
+def edge_counts(spark: SparkSession, folder: str) -> DataFrame:
+    graph = business_graph(spark, folder)
+    return _edge_counts(graph)
+
+
+def _edge_counts(graph) -> DataFrame:
     edges = None
     for name in sorted(graph.edges):
         part = graph.edges[name].agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("type"), "n")
@@ -216,21 +299,45 @@ def shortest_path_all(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def shortest_path_expr(spark: SparkSession, folder: str) -> DataFrame:
-    return business_graph(spark, folder).cypher("MATCH (a:Customer {custkey: 7}), (b:Customer {custkey: 11}) RETURN size(shortestPath((a)-[:FOLLOWED_BY*]-(b))) > 1 AS found")
+    """Nodes on a shortest path from customer 7 to others, 0 where there is none."""
+    return business_graph(spark, folder).cypher("MATCH (a:Customer {custkey: 7}), (b:Customer) WHERE b.custkey < 40 RETURN b.custkey AS custkey, size(shortestPath((a)-[:FOLLOWED_BY*]-(b))) AS n")
 
 
 def stream_ingest_events(spark: SparkSession, folder: str) -> DataFrame:
-    """The first 300 events ingested, as its SQL has it; stream_ingest_all_events takes the whole table."""
-    return _ingested(spark, folder, spark.read.parquet(f"{folder}/events.parquet").filter("event_id < 300"))
+    """All events as a stream of two micro-batches with a restart between them, and the graph that the store recovers."""
+    from .storage import shared_dir
+
+    at = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    store = GraphStore(spark, f"{at}/store", business_graph(spark, folder).schema)
+    records = _records(spark.read.parquet(f"{folder}/events.parquet"))
+    # Records of an event stay together, and so do their places in the stream.
+    middle = records.agg(F.max("seq")).first()[0] or 0
+    for i, part in enumerate((records.filter(F.col("seq") <= middle // 8 * 4), records.filter(F.col("seq") > middle // 8 * 4))):
+        part.coalesce(8).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(part.schema).parquet(f"{at}/in")
+        start_stream(stream, store, f"{at}/checkpoint", snapshots=2).awaitTermination()
+        # As after a restart of the service.
+        store = GraphStore(spark, f"{at}/store", store.schema)
+        assert store.last_batch() == i
+    return store.recover().cypher(PERFORMED)
 
 
 def stream_ingest_all_events(spark: SparkSession, folder: str) -> DataFrame:
     return _ingested(spark, folder, spark.read.parquet(f"{folder}/events.parquet"))
 
 
+#: Events of each customer.
+PERFORMED = "MATCH (c:Customer)-[:PERFORMED]->(e:Event) RETURN c.custkey AS custkey, count(e) AS n, sum(e.value) AS total"
+
+
 def _ingested(spark: SparkSession, folder: str, events: DataFrame) -> DataFrame:
-    """Events as mutation records: a customer node, an event node, and the edge between them for each."""
     graph = business_graph(spark, folder)
+    after, _ = apply_batch(type(graph).empty(spark, graph.schema), _records(events))
+    return after.cypher(PERFORMED)
+
+
+def _records(events: DataFrame) -> DataFrame:
+    """Events as mutation records: a customer node, an event node, the edge between them, and one from nowhere, for each."""
     attributes = lambda **x: F.create_map(*[v for k, c in x.items() for v in (F.lit("graph." + k), c)])
     key, user = F.concat(F.lit("new:"), F.col("event_id")), F.concat(F.lit("user:"), F.col("user_id"))
     rows = [
@@ -243,27 +350,53 @@ def _ingested(spark: SparkSession, folder: str, events: DataFrame) -> DataFrame:
     for i, a, body in rows:
         part = events.select((F.col("event_id") * 4 + i).alias("seq"), a.alias("attributes"), body.alias("body"))
         records = part if records is None else records.unionByName(part)
-    empty = type(graph).empty(spark, graph.schema)
-    after, _ = apply_batch(empty, records)
-    return after.cypher("MATCH (c:Customer)-[:PERFORMED]->(e:Event) RETURN c.custkey AS custkey, count(e) AS n, sum(e.value) AS total")
+    return records
 
 
 def snapshot_recover(spark: SparkSession, folder: str) -> DataFrame:
-    """Nations and regions after a snapshot, logged changes, and recovery."""
+    """Edges of each type after a snapshot of the whole graph and its recovery."""
     from .storage import shared_dir
 
     graph = business_graph(spark, folder)
+    path = f"{shared_dir(spark)}/stores/{uuid.uuid4().hex}"
+    GraphStore(spark, path, graph.schema).snapshot(graph)
+    return _edge_counts(GraphStore(spark, path, graph.schema).recover())
+
 
+def log_operations(spark: SparkSession, folder: str) -> DataFrame:
+    """Nations and regions after a snapshot, all five kinds of logged changes, and recovery."""
+    from .storage import shared_dir
+
+    graph = business_graph(spark, folder)
     store = GraphStore(spark, f"{shared_dir(spark)}/stores/{uuid.uuid4().hex}", graph.schema)
     small = type(graph).empty(spark, graph.schema)
     small = small.upsert_nodes("Region", graph.nodes["Region"].select("key", "name")).upsert_nodes("Nation", graph.nodes["Nation"].select("key", "name"))
     ends = graph.edges["IN_REGION"].select(F.concat(F.lit("nation:"), F.shiftright("src", 5)).alias("from_key"), F.concat(F.lit("region:"), F.shiftright("dst", 5)).alias("to_key"), "seq")
     small = small.add_edges("IN_REGION", small.checked_edges("IN_REGION", ends)[0])
     store.snapshot(small)
-    store.log_node("Region", "region:new", {"name": "NEW"})
-    store.log_node("Nation", "nation:new", {"name": "NEWLAND"})
-    store.log_edge("IN_REGION", "nation:new", "region:new", {})
-    return store.recover().cypher("MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN r.name AS region, count(n) AS nations")
+    with store.batch():
+        store.log_node("Region", "region:new", {"name": "NEW"})
+        store.log_node("Nation", "nation:new", {"name": "NEWLAND"})
+        store.log_edge("IN_REGION", "nation:new", "region:new", {})
+        store.log_edge("IN_REGION", "nation:3", "region:new", {})
+        store.log_edge("IN_REGION", "nation:3", "region:new", {})
+        # The older of the two goes, then nothing more.
+        store.log_delete_edge("IN_REGION", "nation:3", "region:new")
+        store.log_delete_edge("IN_REGION", "nation:4", "region:new")
+        store.log_set_property("Nation", "nation:1", "name", "RENAMED")
+        store.log_delete_node("nation:2")
+        # Nodes that aren't there have no properties to set.
+        store.log_set_property("Nation", "nation:2", "name", "GONE")
+        store.log_set_property("Nation", "nation:never", "name", "NEVER")
+    return store.recover().cypher("MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN n.name AS nation, r.name AS region", multigraph=True)
+
+
+_COUNTS = {
+    "IN_REGION": "nation", "LIVES_IN": "customer", "BASED_IN": "supplier", "PLACED": "orders", "CONTAINS": "lineitem", "SUPPLIES": "lineitem",
+    "FOLLOWED_BY": "orders o1 JOIN orders o2 ON o2.o_orderkey = o1.o_orderkey + 1", "PERFORMED": "events", "NEXT": "conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1",
+}
+_EDGE_COUNTS = " UNION ALL ".join(f"SELECT '{n}' AS type, count(*) AS n FROM {t}" for n, t in _COUNTS.items())
+_NODE_COUNT = " + ".join(f"(SELECT count(*) FROM {t})" for t in ("region", "nation", "customer", "supplier", "part", "orders", "events", "conversations"))
 
 
 API: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
@@ -273,24 +406,39 @@ API: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
         r(n, d) AS (SELECT CAST(7 AS BIGINT), 0 UNION SELECT e.t, r.d + 1 FROM r JOIN e ON e.s = r.n WHERE r.d < 3) SELECT n AS custkey, min(d)::BIGINT AS depth FROM r GROUP BY n HAVING min(d) BETWEEN 1 AND 3""",
     ),
     "neighbors_api": (neighbors_api, "SELECT o_orderkey AS orderkey FROM orders WHERE o_custkey = 7"),
-    "edge_scan_api": (find_edge_api, "SELECT l_suppkey AS suppkey, count(*) AS n FROM lineitem GROUP BY 1"),
-    "counts_api": (
-        counts_api,
-        """SELECT 'IN_REGION' AS type, count(*) AS n FROM nation UNION ALL SELECT 'LIVES_IN', count(*) FROM customer UNION ALL SELECT 'BASED_IN', count(*) FROM supplier UNION ALL SELECT 'PLACED', count(*) FROM orders
-        UNION ALL SELECT 'CONTAINS', count(*) FROM lineitem UNION ALL SELECT 'SUPPLIES', count(*) FROM lineitem UNION ALL SELECT 'FOLLOWED_BY', count(*) FROM orders o1 JOIN orders o2 ON o2.o_orderkey = o1.o_orderkey + 1
-        UNION ALL SELECT 'PERFORMED', count(*) FROM events UNION ALL SELECT 'NEXT', count(*) FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""",
+    "edge_scan_api": (edge_scan_api, "SELECT l_suppkey AS suppkey, count(*) AS n FROM lineitem GROUP BY 1"),
+    "find_edge_api": (
+        find_edge_api,
+        """WITH k AS (SELECT l_suppkey AS s, l_partkey AS p FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 1)
+        SELECT l_quantity AS quantity, l_extendedprice AS price FROM lineitem JOIN k ON l_suppkey = s AND l_partkey = p ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice LIMIT 1""",
     ),
+    "edge_by_id": (edge_by_id, "SELECT c_custkey AS custkey, c_nationkey::BIGINT AS nationkey FROM customer WHERE c_custkey = 7"),
+    "node_by_id": (node_by_id, "SELECT 'customer:' || c_custkey AS key, 'Customer' AS label FROM customer WHERE c_custkey = 7"),
+    "return_node": (return_node, """SELECT '{"name":"' || r_name || '"}' AS r, r_name AS name FROM region"""),
+    "delete_edges_multigraph": (delete_edges_multigraph, "SELECT l_suppkey AS suppkey, count(*) AS n FROM lineitem WHERE l_suppkey <> 3 GROUP BY 1"),
+    "counts_api": (counts_api, f"SELECT {_NODE_COUNT} AS nodes, (SELECT sum(n)::BIGINT FROM ({_EDGE_COUNTS})) AS edges"),
+    "edge_counts": (edge_counts, _EDGE_COUNTS),
     "shortest_path_len": (
         shortest_path_len,
         """WITH RECURSIVE e0 AS (SELECT o1.o_custkey AS s, o2.o_custkey AS t FROM orders o1 JOIN orders o2 ON o2.o_orderkey = o1.o_orderkey + 1), e AS (SELECT s, t FROM e0 UNION SELECT t, s FROM e0),
         r(n, d) AS (SELECT CAST(7 AS BIGINT), 0 UNION SELECT e.t, r.d + 1 FROM r JOIN e ON e.s = r.n WHERE r.d < 4) SELECT n AS custkey, min(d)::BIGINT AS hops FROM r WHERE n BETWEEN 1 AND 40 GROUP BY n""",
     ),
-    "shortest_path_expr": (shortest_path_expr, "SELECT true AS found"),
-    "stream_ingest_events": (stream_ingest_events, "SELECT user_id AS custkey, count(*) AS n, sum(value) AS total FROM events WHERE event_id < 300 GROUP BY 1"),
+    "shortest_path_expr": (
+        shortest_path_expr,
+        """WITH RECURSIVE e0 AS (SELECT o1.o_custkey AS s, o2.o_custkey AS t FROM orders o1 JOIN orders o2 ON o2.o_orderkey = o1.o_orderkey + 1), e AS (SELECT s, t FROM e0 UNION SELECT t, s FROM e0),
+        r(n, d) AS (SELECT CAST(7 AS BIGINT), 0 UNION SELECT e.t, r.d + 1 FROM r JOIN e ON e.s = r.n WHERE r.d < 6), l AS (SELECT n, min(d) + 1 AS k FROM r GROUP BY n)
+        SELECT c_custkey AS custkey, coalesce(k, 0)::BIGINT AS n FROM customer LEFT JOIN l ON l.n = c_custkey WHERE c_custkey < 40""",
+    ),
+    "stream_ingest_events": (stream_ingest_events, "SELECT user_id AS custkey, count(*) AS n, sum(value) AS total FROM events GROUP BY 1"),
     "stream_ingest_all_events": (stream_ingest_all_events, "SELECT user_id AS custkey, count(*) AS n, sum(value) AS total FROM events GROUP BY 1"),
     # No SQL: a recursive query without a bound on steps counts every walk.
     "shortest_path_all": (shortest_path_all, None),
-    "snapshot_recover": (snapshot_recover, "SELECT r_name AS region, count(*) AS nations FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1 UNION ALL SELECT 'NEW', 1"),
+    "snapshot_recover": (snapshot_recover, _EDGE_COUNTS),
+    "log_operations": (
+        log_operations,
+        """SELECT CASE WHEN n_nationkey = 1 THEN 'RENAMED' ELSE n_name END AS nation, r_name AS region FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey <> 2
+        UNION ALL SELECT 'NEWLAND', 'NEW' UNION ALL SELECT n_name, 'NEW' FROM nation WHERE n_nationkey = 3""",
+    ),
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _cypher(q) for n, (q, _) in CYPHER.items()} | {n: f for n, (f, _) in API.items()}

@@ -3,17 +3,22 @@
 A snapshot is a folder ``snapshots/<number>`` with a Parquet table for each node
 label and edge type (edges by their ends' keys), and ``meta``, written last:
 a folder without it doesn't count.  The log is a folder of JSON lines with
-``seq, op, label, key, edge_type, from_key, to_key, props``.  Recovery takes the
-last snapshot and applies the log after it.  All paths go through Spark, so
-a store can lie wherever Spark can write.
+``seq, op, label, key, edge_type, from_key, to_key, props``, a file for each
+append; ``batch`` makes one append of many changes.  Recovery takes the last
+snapshot and folds the log after it in a fixed number of steps, whatever the
+number of entries.  All paths go through Hadoop's file systems, so a store can
+lie wherever Spark can write.
 """
 
 from __future__ import annotations
 
 import json
 import time
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import PropertyGraph
@@ -27,6 +32,7 @@ META = "number bigint, timestamp bigint, wal_seq bigint, batch bigint, node_coun
 class GraphStore:
     def __init__(self, spark: SparkSession, path: str, schema: GraphSchema):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.pending: list[dict] | None = None
         self.seq = max(self._meta()["wal_seq"] if self._meta() else 0, self.log().agg(F.max("seq")).first()[0] or 0)
 
     # Files
@@ -50,8 +56,9 @@ class GraphStore:
         return None
 
     def last_batch(self) -> int:
-        meta = self._meta()
-        return -1 if meta is None else meta["batch"]
+        """The last micro-batch that the log or a snapshot has."""
+        meta, logged = self._meta(), [int(n.partition("-")[2]) for n in self._list("log") if "-" in n and "_SUCCESS" in self._list(f"log/{n}")]
+        return max([-1 if meta is None else meta["batch"], *logged])
 
     # Log
 
@@ -62,11 +69,42 @@ class GraphStore:
         return self.spark.read.schema(LOG).json(f"{self.path}/log/*").filter(F.col("seq") > after)
 
     def append(self, entries: list[dict]) -> None:
-        rows = []
-        for e in entries:
-            self.seq += 1
-            rows.append(e | {"seq": self.seq})
-        self.spark.createDataFrame([Row(**{c.split()[0]: r.get(c.split()[0]) for c in LOG.split(", ")}) for r in rows], LOG).coalesce(1).write.json(f"{self.path}/log/{rows[0]['seq']:020d}")
+        """Write entries to the log, as one file and without a job."""
+        if self.pending is not None:
+            self.pending += entries
+            return
+        if not entries:
+            return
+        first = self.seq + 1
+        lines = [json.dumps(e | {"seq": first + i}) for i, e in enumerate(entries)]
+        self.seq += len(entries)
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/log/{first:020d}/part.json")
+        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        # Under another name until it is whole: readers pass over names that begin with a dot.
+        hidden = jvm.org.apache.hadoop.fs.Path(f"{self.path}/log/{first:020d}/.part.json.new")
+        out = fs.create(hidden, True)
+        out.write(("\n".join(lines) + "\n").encode())
+        out.close()
+        fs.rename(hidden, at)
+
+    def append_records(self, entries: DataFrame, batch: int) -> None:
+        """Append many entries, with the columns of the log, as one folder that names their micro-batch. seq: their order; it is moved behind the log's."""
+        ends = entries.agg(F.min("seq"), F.max("seq")).first()
+        low, high = (0, 0) if ends[0] is None else ends
+        first = self.seq + 1
+        entries.withColumn("seq", F.col("seq") - low + first).write.mode("overwrite").json(f"{self.path}/log/{first:020d}-{batch:012d}")
+        self.seq = first + high - low
+
+    @contextmanager
+    def batch(self) -> Iterator[None]:
+        """Changes that are logged inside are one append."""
+        self.pending = []
+        try:
+            yield
+        finally:
+            entries, self.pending = self.pending, None
+            self.append(entries)
 
     def log_node(self, label: str, key: str, props: dict) -> None:
         self.append([{"op": "CREATE_NODE", "label": label, "key": key, "props": json.dumps(props)}])
@@ -102,7 +140,7 @@ class GraphStore:
         row = (number, int(time.time()), upto, batch if batch is not None else self.last_batch(), *counts)
         self.spark.createDataFrame([row], META).coalesce(1).write.parquet(f"{folder}/meta")
         for n in self._list("log"):
-            if int(n) <= upto:
+            if int(n.partition("-")[0]) <= upto:
                 self._delete(f"log/{n}")
         return number
 
@@ -131,31 +169,71 @@ class GraphStore:
 
 
 def replay(graph: PropertyGraph, entries: DataFrame) -> PropertyGraph:
-    """Apply log entries: runs of equal operations together, in order.
-
-    Node and edge creations are applied as one batch of records; each deletion
-    or property change ends the batch before it.
+    """Fold log entries into a graph.
+
+    For each key only what follows its last deletion counts: the node lives from
+    its creation after that on, or from before where it wasn't deleted.  Entries
+    on a key that doesn't live at their place, such as a property of a node that
+    is gone, are passed over, as are those that name another label.  An edge is
+    kept if both ends live when it is made and aren't deleted later.  A
+    DELETE_EDGE takes the oldest edge of its ends that there is at its place.
     """
-    from ..streaming.ingest import apply_batch
+    from ..streaming.ingest import merged
 
     entries = cut_lineage(entries, "log")
-    creation = F.col("op").isin("CREATE_NODE", "CREATE_EDGE", "SET_PROPERTY")
-    # Deletions are rare; their places cut the log into batches.
-    cuts = [r["seq"] for r in entries.filter(~creation).orderBy("seq").select("seq").toLocalIterator()]
-    low = -1
-    for cut in [*cuts, None]:
-        part = entries.filter(creation & (F.col("seq") > low)) if cut is None else entries.filter(creation & (F.col("seq") > low) & (F.col("seq") < cut))
-        node = F.create_map(F.lit("graph.op"), F.lit("NODE"), F.lit("graph.label"), F.col("label"), F.lit("graph.key"), F.col("key"))
-        edge = F.create_map(F.lit("graph.op"), F.lit("EDGE"), F.lit("graph.edge"), F.col("edge_type"), F.lit("graph.from"), F.col("from_key"), F.lit("graph.to"), F.col("to_key"))
-        graph, _ = apply_batch(graph, part.select("seq", F.when(F.col("op") == "CREATE_EDGE", edge).otherwise(node).alias("attributes"), F.col("props").alias("body")))
-        if cut is not None:
-            gone = entries.filter(F.col("seq") == cut)
-            if gone.first()["op"] == "DELETE_NODE":
-                graph = graph.delete_nodes(graph.all_nodes().join(gone.select("key"), "key", "left_semi"))
-            else:
-                name = gone.first()["edge_type"]
-                found, _ = graph.checked_edges(name, gone.select("from_key", "to_key"))
-                ends = graph.edges[name].join(found.select("src", "dst"), ["src", "dst"], "left_semi")
-                graph = graph.delete_edges(name, ends.groupBy("src", "dst").agg(F.min("seq").alias("seq")))
-            low = cut
-    return graph
+    nodes = entries.filter(F.col("op").isin("CREATE_NODE", "SET_PROPERTY", "DELETE_NODE"))
+    gone = nodes.filter("op = 'DELETE_NODE'").groupBy("key").agg(F.max("seq").alias("gone"))
+    before = graph.all_nodes().select("key", F.col("label").alias("held"))
+    later = nodes.filter("op <> 'DELETE_NODE'").join(gone, "key", "left").filter("gone is null or seq > gone")
+    born = later.filter("op = 'CREATE_NODE'").groupBy("key").agg(F.min("seq").alias("born"), F.min_by("label", "seq").alias("first"))
+    # Every key that the log names or the graph has, and that lives at the end.
+    lives = before.join(gone, "key", "left").select("key", F.when(F.col("gone").isNull(), F.col("held")).alias("held"), "gone").join(born, "key", "full_outer")
+    lives = lives.select("key", F.coalesce("held", "first").alias("owner"), F.when(F.col("held").isNotNull(), F.lit(-1)).otherwise(F.col("born")).cast("long").alias("since")).filter("since is not null")
+    lives = cut_lineage(lives, "lives")
+    changes = cut_lineage(later.select("seq", "key", "label", F.col("props").alias("body")).join(lives, "key").filter("(label is null or label = owner) and seq >= since"), "changes")
+    out = graph
+    if not gone.isEmpty():
+        out = graph.delete_nodes(graph.all_nodes().join(gone, "key", "left_semi"))
+    # Names of the schema that the log uses.
+    owners = {r["owner"] for r in changes.select("owner").distinct().collect()}
+    for label in (n for n in graph.schema.nodes if n in owners):
+        out = merged(out, label, changes.filter(F.col("owner") == label).select("seq", "key", "body"))
+    made = entries.filter("op = 'CREATE_EDGE'").select("seq", "edge_type", "from_key", "to_key", F.col("props").alias("body"))
+    for end in ("from_key", "to_key"):
+        made = made.join(lives.select(F.col("key").alias(end), F.col("since").alias(f"since_{end}"), F.col("owner").alias(f"label_{end}")), end).filter(F.col(f"since_{end}") < F.col("seq"))
+    made = cut_lineage(made, "made")
+    dropped = cut_lineage(entries.filter("op = 'DELETE_EDGE'").select("seq", "edge_type", "from_key", "to_key"), "dropped")
+    used, cuts = ({r["edge_type"] for r in df.select("edge_type").distinct().collect()} for df in (made, dropped))
+    for name, e in ((n, e) for n, e in graph.schema.edges.items() if n in used | cuts):
+        fits = made.filter((F.col("edge_type") == name) & (F.col("label_from_key") == e.source) & (F.col("label_to_key") == e.target))
+        out = with_edges(out, name, fits, dropped.filter(F.col("edge_type") == name) if name in cuts else None)
+    return out
+
+
+def with_edges(graph: PropertyGraph, name: str, made: DataFrame, dropped: DataFrame | None) -> PropertyGraph:
+    """The graph with made edges (seq, from_key, to_key, body), less the oldest of the same ends for each dropped one (seq, from_key, to_key)."""
+    from ..streaming.ingest import edge_rows
+
+    before = graph.edges[name]
+    rows, _ = graph.checked_edges(name, edge_rows(graph, name, made))
+    graph = graph.add_edges(name, rows)
+    if dropped is None:
+        return graph
+    ends, _ = graph.checked_edges(name, dropped)
+    mark = F.to_json(F.struct("seq"))
+    there = before.join(ends.select("src", "dst").distinct(), ["src", "dst"], "left_semi")
+    # Edges from before the log come first, by their own order.
+    old = there.select("src", "dst", F.lit(-1).cast("long").alias("at"), F.struct("seq").alias("own"), mark.alias("mark"))
+    old = old.withColumn("own", F.row_number().over(Window.partitionBy("src", "dst").orderBy("own")).cast("long")).withColumn("step", F.lit(1))
+    # add_edges casts seq to the table's type, and so must the mark.
+    kind = before.schema["seq"].dataType
+    new = rows.select("src", "dst", F.col("seq").alias("at"), F.lit(0).cast("long").alias("own"), F.to_json(F.struct(F.col("seq").cast(kind).alias("seq"))).alias("mark"), F.lit(1).alias("step"))
+    cut = ends.select("src", "dst", F.col("seq").alias("at"), F.lit(0).cast("long").alias("own"), F.lit(None).cast("string").alias("mark"), F.lit(-1).alias("step"))
+    line = reduce(DataFrame.unionByName, [old.select(*cut.columns), new.select(*cut.columns), cut])
+    by = Window.partitionBy("src", "dst").orderBy("at", "own").rowsBetween(Window.unboundedPreceding, 0)
+    # A deletion that finds no edge takes none: what is left is the sum above its least so far.
+    line = line.withColumn("sum", F.sum("step").over(by))
+    left = line.groupBy("src", "dst").agg(F.max_by("sum", F.struct("at", "own")).alias("sum"), F.min("sum").alias("least")).select("src", "dst", (F.col("sum") - F.least(F.lit(0), F.col("least"))).alias("left"))
+    newest = Window.partitionBy("src", "dst").orderBy(F.desc("at"), F.desc("own"))
+    gone = line.filter("step = 1").withColumn("rank", F.row_number().over(newest)).join(left, ["src", "dst"]).filter(F.col("rank") > F.col("left"))
+    return graph.delete_edges(name, gone.select("src", "dst", "mark"))

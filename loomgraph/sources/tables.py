@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,34 +76,62 @@ def business_graph(spark: SparkSession, folder: str, read: Callable[[str], DataF
     }
     schema = GraphSchema.from_dict(SCHEMA)
 
-    def nodes(label: str) -> DataFrame:
-        table, prefix, key, props = tables[label]
+    def nodes(label: str, id: int | None = None, key: str | None = None) -> DataFrame:
+        """A label's nodes; with an id or key the one that has it, found by the table's own column."""
+        table, prefix, own, props = tables[label]
         kinds = {f.name: f.dataType for f in schema.node_struct(label)}
-        return node_table(read(table), PLACES[label], prefix, key(), {p: c(x).cast(kinds[p]) for p, x in props.items()})
-
-    def lines(left: str, key: str, props: dict[str, Column]) -> DataFrame:
-        order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-        return edge_table(read("lineitem"), at(left, c(key)), at("Part", c("l_partkey")), order, props)
-
-    def followed() -> DataFrame:
-        orders = read("orders")
-        later = orders.select(c("o_orderkey").alias("k2"), c("o_custkey").alias("c2"))
+        df = read(table)
+        if id is not None:
+            df = df.filter(holds(label, own(), id))
+        if key is not None:
+            head, _, number = key.partition(":")
+            df = df.filter(holds(label, own(), int(number) * LABELS + PLACES[label]) if head == prefix and re.fullmatch(r"-?\d{1,17}", number) else F.lit(False))
+        return node_table(df, PLACES[label], prefix, own(), {p: c(x).cast(kinds[p]) for p, x in props.items()})
+
+    def holds(label: str, own: Column, id: int | None) -> Column:
+        """Whether the column of a label's keys, or for turns the two columns, is that of an id."""
+        if id is None:
+            return F.lit(True)
+        number, place = divmod(id, LABELS)
+        if place != PLACES[label]:
+            return F.lit(False)
+        return (c("conv_id") == number // TURNS) & (c("turn") == number % TURNS) if label == "Turn" else own == number
+
+    def edge(table: str, left: tuple[str, str], right: tuple[str, str], seq: Callable[[], Column], props: Callable[[], dict[str, Column]] = dict):
+        """A maker of an edge table from the labels and key columns of both ends; src and dst, if given, restrict the source's columns."""
+
+        def make(src: int | None = None, dst: int | None = None) -> DataFrame:
+            df = read(table)
+            for (label, column), id in ((left, src), (right, dst)):
+                df = df.filter(holds(label, c(column), id)) if id is not None else df
+            return edge_table(df, at(left[0], c(left[1])), at(right[0], c(right[1])), seq(), props())
+
+        return make
+
+    def lines(left: tuple[str, str], props: Callable[[], dict[str, Column]]):
+        return edge("lineitem", left, ("Part", "l_partkey"), lambda: F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"), props)
+
+    def followed(src: int | None = None, dst: int | None = None) -> DataFrame:
+        orders = read("orders").filter(holds("Customer", c("o_custkey"), src))
+        later = read("orders").filter(holds("Customer", c("o_custkey"), dst)).select(c("o_orderkey").alias("k2"), c("o_custkey").alias("c2"))
         return edge_table(orders.join(later, c("k2") == c("o_orderkey") + 1), at("Customer", c("o_custkey")), at("Customer", c("c2")), c("o_orderkey"), {"orderkey": c("o_orderkey")})
 
-    def next_turns() -> DataFrame:
-        turns = read("conversations").select("conv_id", "turn")
-        both = turns.alias("a").join(turns.alias("b"), (c("a.conv_id") == c("b.conv_id")) & (c("b.turn") == c("a.turn") + 1))
+    def next_turns(src: int | None = None, dst: int | None = None) -> DataFrame:
+        turns = read("conversations")
+        first, second = (turns.filter(holds("Turn", turn(), x)).select("conv_id", "turn") for x in (src, dst))
+        both = first.alias("a").join(second.alias("b"), (c("a.conv_id") == c("b.conv_id")) & (c("b.turn") == c("a.turn") + 1))
         return edge_table(both, at("Turn", turn("a.")), at("Turn", turn("b.")), c("a.turn"), {})
 
-    edges: dict[str, Callable[[], DataFrame]] = {
-        "IN_REGION": lambda: edge_table(read("nation"), at("Nation", c("n_nationkey")), at("Region", c("n_regionkey")), c("n_nationkey"), {}),
-        "LIVES_IN": lambda: edge_table(read("customer"), at("Customer", c("c_custkey")), at("Nation", c("c_nationkey")), c("c_custkey"), {}),
-        "BASED_IN": lambda: edge_table(read("supplier"), at("Supplier", c("s_suppkey")), at("Nation", c("s_nationkey")), c("s_suppkey"), {}),
-        "PLACED": lambda: edge_table(read("orders"), at("Customer", c("o_custkey")), at("Order", c("o_orderkey")), c("o_orderkey"), {}),
-        "CONTAINS": lambda: lines("Order", "l_orderkey", {"quantity": c("l_quantity"), "linenumber": c("l_linenumber").cast("long")}),
-        "SUPPLIES": lambda: lines("Supplier", "l_suppkey", {"quantity": c("l_quantity"), "price": c("l_extendedprice")}),
+    edges: dict[str, Callable[..., DataFrame]] = {
+        "IN_REGION": edge("nation", ("Nation", "n_nationkey"), ("Region", "n_regionkey"), lambda: c("n_nationkey")),
+        "LIVES_IN": edge("customer", ("Customer", "c_custkey"), ("Nation", "c_nationkey"), lambda: c("c_custkey")),
+        "BASED_IN": edge("supplier", ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"), lambda: c("s_suppkey")),
+        "PLACED": edge("orders", ("Customer", "o_custkey"), ("Order", "o_orderkey"), lambda: c("o_orderkey")),
+        "CONTAINS": lines(("Order", "l_orderkey"), lambda: {"quantity": c("l_quantity"), "linenumber": c("l_linenumber").cast("long")}),
+        "SUPPLIES": lines(("Supplier", "l_suppkey"), lambda: {"quantity": c("l_quantity"), "price": c("l_extendedprice")}),
         "FOLLOWED_BY": followed,
-        "PERFORMED": lambda: edge_table(read("events"), at("Customer", c("user_id")), at("Event", c("event_id")), c("event_id"), {}),
+        "PERFORMED": edge("events", ("Customer", "user_id"), ("Event", "event_id"), lambda: c("event_id")),
         "NEXT": next_turns,
     }
-    return PropertyGraph(spark, schema, Tables({n: lambda n=n: nodes(n) for n in tables}), Tables(edges), UNIQUE)
+    finders = {n: lambda n=n, **where: nodes(n, **where) for n in tables}
+    return PropertyGraph(spark, schema, Tables(finders, finders), Tables(edges, edges), UNIQUE)

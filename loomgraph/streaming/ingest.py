@@ -60,17 +60,12 @@ def apply_batch(graph: PropertyGraph, records: DataFrame) -> tuple[PropertyGraph
     bad.append(nodes.filter(wrong).select("seq", "attributes", "body", F.lit("the key belongs to a node of another type").alias("reason")))
     nodes = cut_lineage(nodes.filter(~wrong), "nodes")
     for label in (n for n in graph.schema.nodes if n in kinds):
-        fields = T.StructType([f for f in graph.nodes[label].schema if f.name not in ("id", "key")])
-        rows, absent = _parsed(nodes.filter(F.col("label") == label), fields)
-        rows = rows.select("key", "seq", *[f.name for f in fields], *[f"_no_{f.name}" for f in fields])
-        graph = _merge(graph, label, rows, absent)
+        graph = merged(graph, label, nodes.filter(F.col("label") == label))
     edges = good.filter(attribute("op") == "EDGE").withColumns({"edge": attribute("edge"), "from_key": attribute("from"), "to_key": attribute("to")})
     # Nodes that this batch makes exist from their first record on.
     new = firsts.join(held, "key", "left_anti").select("key", "born")
     for name, e in ((n, e) for n, e in graph.schema.edges.items() if n in kinds):
-        fields = T.StructType([f for f in graph.edges[name].schema if f.name not in ("src", "dst", "seq")])
-        rows, _ = _parsed(edges.filter(F.col("edge") == name), fields)
-        found, lost = graph.checked_edges(name, rows)
+        found, lost = graph.checked_edges(name, edge_rows(graph, name, edges.filter(F.col("edge") == name)))
         births = [new.select(F.col("key").alias(k), F.col("born").alias(b)) for k, b in (("from_key", "_b1"), ("to_key", "_b2"))]
         found = found.join(births[0], "from_key", "left").join(births[1], "to_key", "left")
         early = F.coalesce(F.greatest("_b1", "_b2") > F.col("seq"), F.lit(False))
@@ -80,25 +75,52 @@ def apply_batch(graph: PropertyGraph, records: DataFrame) -> tuple[PropertyGraph
     return graph, reduce(DataFrame.unionByName, [b.select("seq", "attributes", "body", "reason") for b in bad])
 
 
-def _merge(graph: PropertyGraph, label: str, rows: DataFrame, absent: dict[str, Column]) -> PropertyGraph:
-    """Per key and property the last record that has the property; an explicit null counts."""
+def edge_rows(graph: PropertyGraph, name: str, rows: DataFrame) -> DataFrame:
+    """rows with a column for each property of the edge type, from ``body``."""
+    return _parsed(rows, T.StructType([f for f in graph.edges[name].schema if f.name not in ("src", "dst", "seq")]))[0]
+
+
+def merged(graph: PropertyGraph, label: str, rows: DataFrame) -> PropertyGraph:
+    """The graph with rows (seq, key, body) of one label: per key and property the last that has the property; an explicit null counts."""
+    fields = T.StructType([f for f in graph.nodes[label].schema if f.name not in ("id", "key")])
+    rows, absent = _parsed(rows, fields)
+    rows = rows.select("key", "seq", *[f.name for f in fields], *[f"_no_{f.name}" for f in fields])
     last = rows.groupBy("key").agg(*[F.max_by(F.struct(F.col(n).alias("v")), F.when(~c, F.col("seq"))).alias(n) for n, c in absent.items()], F.count(F.lit(1)).alias("_n"))
     return graph.merge_nodes(label, last.drop("_n"))
 
 
-def start_stream(records: DataFrame, store, checkpoint: str, rejected: Callable[[DataFrame, int], None] | None = None, every: str | None = None) -> StreamingQuery:
-    """Apply a stream of records to a store, one snapshot for each micro-batch.
+def log_entries(records: DataFrame) -> DataFrame:
+    """Records that can be applied by themselves, as entries of a store's log (seq as given)."""
+    node = attribute("op") == "NODE"
+    return records.select(
+        "seq",
+        F.when(node, "CREATE_NODE").otherwise("CREATE_EDGE").alias("op"),
+        attribute("label").alias("label"),
+        F.when(node, attribute("key")).alias("key"),
+        attribute("edge").alias("edge_type"),
+        attribute("from").alias("from_key"),
+        attribute("to").alias("to_key"),
+        F.col("body").alias("props"),
+    )
+
+
+def start_stream(records: DataFrame, store, checkpoint: str, rejected: Callable[[DataFrame, int], None] | None = None, every: str | None = None, snapshots: int = 16) -> StreamingQuery:
+    """Apply a stream of records to a store: a micro-batch is appended to the log, and each ``snapshots``-th makes a snapshot.
 
-    A batch that was applied before a restart is skipped: the snapshot names it.
+    A batch that was applied before a restart is passed over: the log and the
+    snapshots name it.  Rejected records are worked out only for a caller that takes them.
     """
 
     def one(batch: DataFrame, number: int) -> None:
         if store.last_batch() >= number:
             return
-        graph, bad = apply_batch(store.recover(), cut_lineage(batch, "batch"))
-        store.snapshot(graph, batch=number)
+        given = cut_lineage(batch.select("seq", "attributes", "body"), "batch")
         if rejected:
-            rejected(bad, number)
+            rejected(apply_batch(store.recover(), given)[1], number)
+        graph = PropertyGraph.empty(given.sparkSession, store.schema)
+        store.append_records(log_entries(given.filter(reason(graph).isNull())), number)
+        if (number + 1) % snapshots == 0:
+            store.snapshot(store.recover(), batch=number)
 
     writer = records.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

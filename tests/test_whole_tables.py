@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 from loomgraph.queries import QUERIES
+from loomgraph.sources.tables import LABELS, PLACES, business_graph
 
 
 def test_all_events_are_ingested(spark, tmp_path):
@@ -28,3 +29,21 @@ def test_distances_to_every_customer(spark, tmp_path):
         level = [y for x in level for a, b in follows for y in ((b,) if a == x else (a,) if b == x else ()) if y not in want and not want.update({y: want[x] + 1})]
     got = QUERIES["shortest_path_all"](spark, str(tmp_path)).collect()
     assert {r.custkey: r.hops for r in got} == want and len(got) == len(want)
+
+
+def test_lookups_reach_the_scans(spark, tmp_path):
+    """Ids and keys are found by the tables' own columns."""
+    spark.createDataFrame([(i, f"c{i}", 0.0, "s", 0) for i in range(9)], "c_custkey long, c_name string, c_acctbal double, c_mktsegment string, c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(i, i % 9, "O", 1.0, "P") for i in range(30)], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    graph = business_graph(spark, str(tmp_path))
+    seven = 7 * LABELS + PLACES["Customer"]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found = graph.cypher("MATCH (c:Customer) WHERE key(c) = 'customer:7' RETURN c.name AS name")
+    assert "EqualTo(c_custkey,7)" in plan(found) and [r.name for r in found.collect()] == ["c7"]
+    near = graph.neighbors(seven, ["PLACED"])
+    assert "EqualTo(o_custkey,7)" in plan(near) and sorted(r.id for r in near.collect()) == [i * LABELS + PLACES["Order"] for i in (7, 16, 25)]
+    assert [r.key for r in graph.nodes.find("Customer", id=seven).collect()] == ["customer:7"]
+    assert graph.nodes.find("Order", id=seven).collect() == [] and graph.nodes.find("Customer", key="order:7").collect() == []
+    # A mutated table is looked up in itself.
+    after, _ = graph.execute("MATCH (c:Customer {custkey: 7}) SET c.name = 'new'")
+    assert after.nodes.find("Customer", id=seven).first()["name"] == "new"
