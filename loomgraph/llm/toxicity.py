@@ -187,11 +187,11 @@ def mates(sample: DataFrame, counts: DataFrame, taken: list[int], clean: int, to
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
     """Fit a machine on the labelled documents that aren't held out."""
-    usable = labels.select(F.col("doc_id").alias("label_id"), (F.col("toxic") > 0).cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("label_id").isNotNull() & ~held_out(F.col("label_id")))
+    usable = labels.select(F.col("doc_id").cast("long").alias("label_id"), (F.col("toxic") > 0).cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("label_id").isNotNull() & ~held_out(F.col("label_id")))
     known = usable.count()
     chosen = usable.filter(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, rows / max(1, known)))).limit(2 * rows)
     # Of bounded size, see ``rows``.
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("y", F.col("text").cast("string").alias("text"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("y", "label_id", F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, BUCKETS), dtype=np.int64)
@@ -231,9 +231,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
                 known = feature >= 0
                 sizes = np.bincount(doc[known], minlength=c.hi - c.lo)
                 offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("y").slice(c.lo, c.hi - c.lo), pa.ListArray.from_arrays(pa.array(offsets), pa.array(feature[known]))], names=["y", "found"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(x).slice(c.lo, c.hi - c.lo) for x in ("y", "label_id", "mark")), pa.ListArray.from_arrays(pa.array(offsets), pa.array(feature[known]))], names=["y", "label_id", "mark", "found"])
 
-    got = sample.mapInArrow(features, "y int, found array<int>").toArrow()
+    # Fitting depends on the order of rows, so it mustn't depend on how the tables are cut.
+    got = sample.mapInArrow(features, "y int, label_id long, mark long, found array<int>").toArrow().sort_by([(x, "ascending") for x in ("label_id", "mark", "y")])
     y = got.column("y").to_numpy().astype(float)
     found = got.column("found").combine_chunks()
     sizes = np.diff(found.offsets.to_numpy()) if len(found) else np.zeros(0, dtype=int)

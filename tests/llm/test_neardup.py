@@ -81,7 +81,7 @@ def test_recall_of_large_nodes(spark, monkeypatch):
     rng = random.Random(11)
     base = [f"b{i}" for i in range(150)]
     rows, planted = [], []
-    for i in range(1200):
+    for i in range(700):
         own = list(base)
         for j in rng.sample(range(30), 8):
             own[5 * j] = f"e{i}x{j}"

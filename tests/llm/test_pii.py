@@ -1,3 +1,4 @@
+import datetime
 import random
 import re
 
@@ -93,3 +94,43 @@ def test_query(spark, tmp_path):
     assert sorted((str(i), t if t is None else names.replace(t)[0]) for i, t, _ in rows if i != 300) == sorted((str(r.doc_id), r.text) for r in got if r.doc_id != 300)
     assert all(r.n_found == sum(r[f"n_{k}"] for k in KINDS) for r in got)
     assert pseudonymize(frame(spark, []), KEY).collect() == []
+
+
+def naive_luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        n = int(d) * (2 if i % 2 else 1)
+        total += n - 9 if n > 9 else n
+    return total % 10 == 0
+
+
+def naive_iban(text):
+    moved = text[4:] + text[:4]
+    return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+
+
+def test_query_against_plain_rules(spark, tmp_path):
+    """Validity, places, links and distinctness by rules that are written out here."""
+    rng = random.Random(8)
+    cards = [next(c for d in range(10) if naive_luhn(c := body + str(d))) for body in ("4" + "".join(rng.choice("0123456789") for _ in range(14)) for _ in range(60))]
+    ibans = [next(c for k in range(2, 99) if naive_iban(c := f"DE{k:02d}{body}")) for body in ("".join(rng.choice("0123456789") for _ in range(18)) for _ in range(60))]
+    dates = [f"{rng.randrange(1930, 2030)}-{rng.randrange(1, 13):02d}-{rng.randrange(1, 29):02d}" for _ in range(60)]
+    rows, given = [], {}
+    for i in range(150):
+        card, iban, date = rng.choice(cards), rng.choice(ibans), rng.choice(dates)
+        wrong = card[:-1] + str((int(card[-1]) + 1) % 10)
+        given[i] = card, iban, date, wrong
+        rows.append((i, f"pay {card} by {date}, from {iban}; not {wrong} or 2021-13-45.", "s"))
+    folder = write_tables(spark, tmp_path, documents=frame(spark, rows))
+    new = {}
+    for r in op6_pseudonyms(spark, folder).collect():
+        card, iban, date, wrong = given[r.doc_id]
+        found = re.fullmatch(rf"pay (\d{{16}}) by (\d{{4}}-\d\d-\d\d), from (DE\d{{20}}); not {wrong} or 2021-13-45\.", r.text)
+        assert found and r.n_found == 3
+        a, b, c = found.groups()
+        assert naive_luhn(a) and naive_iban(c) and datetime.date.fromisoformat(b)
+        for kind, old, x in (("card", card, a), ("date", date, b), ("iban", iban, c)):
+            # Equal values have equal pseudonyms, in all documents.
+            assert new.setdefault((kind, old), x) == x
+    assert len(set(new.values())) == len(new)
+    assert sum(old != x for (_, old), x in new.items()) > 0.95 * len(new)

@@ -1,3 +1,4 @@
+import pickle
 import random
 import zlib
 
@@ -38,6 +39,24 @@ def test_learns_words_and_pairs_and_keeps_its_rows(spark, tmp_path):
     assert kept.columns == docs.columns and kept.count() == sum(not r.predicted for r in got)
 
 
+def test_held_out_labels_and_other_columns_are_not_read(spark, tmp_path):
+    docs, labels = labelled(spark, 600)
+    folder = write_tables(spark, tmp_path, documents=docs, labels=labels)
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    other = write_tables(spark, tmp_path / "other", documents=docs.withColumns({"source": F.lit("elsewhere"), "lang": F.lit("xx"), "n_chars": F.lit(0).cast("long")}), labels=labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic"))))
+    scores = [{r.doc_id: (r.held_out, round(r.score, 9)) for r in toxicity.op4_toxicity(spark, f).collect()} for f in (folder, other)]
+    assert scores[0] == scores[1] and len(scores[0]) == 600
+    # Held-out texts are ranked by what was learned from the others.
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    one, none = ([s for i, (h, s) in scores[0].items() if h and toxic[i] == k] for k in (1, 0))
+    assert sum(a > b for a in one for b in none) / (len(one) * len(none)) > 0.95
+
+
+def test_what_is_broadcast_needs_no_class_of_the_library(spark):
+    machine = toxicity.train(*labelled(spark, 120))
+    assert b"loomgraph" not in pickle.dumps(tuple(machine))
+
+
 def test_machine_scores_equal_the_formula():
     rng = np.random.default_rng(1)
     w, v = rng.normal(size=20), rng.normal(size=(20, toxicity.FACTORS))
