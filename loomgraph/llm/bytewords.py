@@ -8,6 +8,8 @@ number of documents, only on the longest single text.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -19,6 +21,13 @@ CHUNK_BYTES = 1 << 20
 U64 = np.uint64
 
 
+def give_back() -> None:
+    """Return memory that a task has freed to the system; Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not everywhere
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _table(*ranges: tuple[int, int]) -> np.ndarray:
     t = np.zeros(256, dtype=bool)
     for lo, hi in ranges:

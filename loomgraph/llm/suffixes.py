@@ -9,7 +9,7 @@ anchor occurs nowhere else stay at home; equal segments of a task are known to
 repeat, and one of them travels to tell the others; and segments of an anchor
 that more than ``substring.HOT`` texts have are cut by longer cores, ``LEVELS`` times.
 
-A symbol is ``symbol_bytes`` bytes (8 for windows of 400), counted from the anchor
+A symbol is ``symbol_bytes`` bytes (16 for windows of 400), counted from the anchor
 on, so equal windows are cut into the same symbols.  Each round inserts one
 symbol of every document, the last ones first, before its suffix so far: the
 symbols that precede the suffixes, in suffix order, are the collection's
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import Chunk, cover, group_blocks, spans_to_binary, text_chunks
+from .bytewords import Chunk, cover, give_back, group_blocks, spans_to_binary, text_chunks
 from .rows import NO_ID, keyed_texts, partitions
 from .storage import materialize
 from .substring import RANGES, Finder, Pieces, gather, known_ranges, minimiser_runs, range_rows, ranges_by_text
@@ -71,7 +71,7 @@ def byte_finder(window: int, gram: int) -> Finder:
 
 
 def symbol_bytes(window: int) -> int:
-    return next(b for b in (8, 4, 2, 1) if window % b == 0 and window > b)
+    return next(b for b in (16, 8, 4, 2, 1) if window % b == 0 and window > b)
 
 
 def array(n: int, kind) -> np.ndarray:
@@ -112,7 +112,8 @@ def suffix_order(symbols: np.ndarray, begin: np.ndarray, cap: int) -> tuple[np.n
     """
     small = np.uint8 if cap < 256 else np.uint16
     # key: a suffix's first symbol, and the place of what follows it, from 1 on, or 0 where nothing does.
-    key, order, common, bwt = array(0, np.int64), array(0, np.int32), array(0, small), array(0, np.int32)
+    # entry: the suffix's place in symbols, and above it the symbol before it, from 1 on, or 0 where there is none.
+    key, entry, common = array(0, np.int64), array(0, np.int64), array(0, small)
     left, rank = np.diff(begin), np.zeros(len(begin) - 1, dtype=np.int64)
     live = np.flatnonzero(left > 0)
     following = symbols[begin[1:][live] - 1]
@@ -144,37 +145,56 @@ def suffix_order(symbols: np.ndarray, begin: np.ndarray, cap: int) -> tuple[np.n
         last = np.flatnonzero(~after & (place < n))
         next_ = prefix(new[last], key[place[last]])
         # Places of the suffixes so far among all.
-        moved = array(n + 1, np.int32)
+        moved = array(n + 1, np.int64)
         moved[0] = 0
         for lo in range(0, n, STEP):
             hi = min(n, lo + STEP)
             a, b = np.searchsorted(place, (lo, hi))
             moved[lo + 1 : hi + 1] = np.arange(lo + 1, hi + 1) + a + np.cumsum(np.bincount(place[a:b] - lo, minlength=hi - lo))
-        came = np.where(at > begin[live], symbols[np.maximum(at - 1, 0)], -1)
-        out = [array(n + m, x.dtype) for x in (key, order, common, bwt)]
+        came = np.where(at > begin[live], symbols[np.maximum(at - 1, 0)] + 1, 0).astype(np.int64)
+        out = [array(n + m, x.dtype) for x in (key, entry, common)]
         for lo in range(0, n, STEP):
             hi = min(n, lo + STEP)
             to = moved[lo + 1 : hi + 1] - 1
-            out[0][to] = (key[lo:hi] & ~LOW) | moved[key[lo:hi] & LOW]
-            for x, y in zip(out[1:], (order, common, bwt), strict=True):
-                x[to] = y[lo:hi]
+            was = key[lo:hi]
+            out[0][to] = (was & ~LOW) | moved[was & LOW]
+            out[1][to], out[2][to] = entry[lo:hi], common[lo:hi]
         out[0][slot] = (new & ~LOW) | moved[new & LOW]
-        out[1][slot], out[2][slot], out[3][slot] = at, own, came
+        out[1][slot], out[2][slot] = (came << 32) | at, own
         out[2][slot[last] + 1] = next_
-        key, order, common, bwt = out
+        key, entry, common = out
         rank[live] = slot + 1
         live = live[left[live] > 0]
         # The next symbols stand in the transform where their documents' suffixes do.
-        following = bwt[rank[live] - 1]
-    return order, common, bwt
+        following = (entry[rank[live] - 1] >> 32) - 1
+    return entry & LOW, common, (entry >> 32) - 1
 
 
-def _numbers(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """The ``size`` bytes at each place as a big-endian number."""
-    out = np.zeros(len(at), dtype=np.uint64)
+def _numbers(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``size`` bytes at each place as a big-endian number of 128 bits: upper and lower half."""
+    high, low = np.zeros(len(at), dtype=np.uint64), np.zeros(len(at), dtype=np.uint64)
     for k in range(size):
-        out = (out << np.uint64(8)) | data[at + k]
-    return out
+        half = high if k < size - 8 else low
+        half <<= np.uint64(8)
+        half |= data[at + k]
+    return high, low
+
+
+def _between(left: tuple, right: tuple, size: int, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last d bytes of ``left`` and then the first size - d of ``right``, as a number in two halves."""
+    down, up = 8 * d, 8 * (size - d)
+    (a, b), (x, y) = right, left
+    # right without its last d bytes
+    high, low = (a >> np.uint64(down), (b >> np.uint64(down)) | (a << np.uint64(64 - down) if down else np.uint64(0))) if down < 64 else (np.zeros_like(a), a >> np.uint64(down - 64))
+    if not d:
+        return high, low
+    # left's last d bytes, moved up
+    if d < 8:
+        x, y = np.zeros_like(x), y & np.uint64((1 << down) - 1)
+    else:
+        x = x & np.uint64((1 << (down - 64)) - 1)
+    x, y = (x << np.uint64(up) | y >> np.uint64(64 - up), y << np.uint64(up)) if up < 64 else (y << np.uint64(up - 64), np.zeros_like(y))
+    return high | x, low | y
 
 
 def repeated_windows(data: np.ndarray, offsets: np.ndarray, anchor: np.ndarray, times: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,12 +211,13 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, anchor: np.ndarray,
     string = np.repeat(np.arange(len(count)), count)
     at = offsets[string] + phase[string] + size * (np.arange(len(string)) - begin[string])
     padded = np.concatenate((np.zeros(size, dtype=np.uint8), data, np.zeros(size, dtype=np.uint8)))
-    symbols = np.unique(_numbers(padded, at + size, size), return_inverse=True)[1].astype(np.int32)
+    halves = [np.unique(x, return_inverse=True)[1] for x in _numbers(padded, at + size, size)]
+    symbols = np.unique((halves[0] << 32) | halves[1], return_inverse=True)[1].astype(np.int32)
     order, common, _ = suffix_order(symbols, begin, core)
     # Runs of suffixes that share their first ``core`` symbols.
     near = np.concatenate((common >= core, [False]))
     member = near[:-1] | near[1:]
-    suffix = np.asarray(order)[member]
+    suffix = order[member]
     group = np.cumsum(~near[:-1])[member]
     string, at = string[suffix], at[suffix]
     have_left, have_right = np.minimum(size, at - offsets[string]), np.minimum(size, offsets[string + 1] - at - core * size)
@@ -206,9 +227,11 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, anchor: np.ndarray,
     heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.zeros(0, dtype=np.int64)
     run = np.cumsum(np.concatenate(([False], group[1:] != group[:-1]))) if len(group) else group
     alike = np.ones(len(heads), dtype=bool)
-    for x, full in ((left, have_left == size), (right, have_right == size)):
+    for halves, full in ((left, have_left == size), (right, have_right == size)):
         if len(heads):
-            alike &= (np.minimum.reduceat(x, heads) == np.maximum.reduceat(x, heads)) & np.logical_and.reduceat(full, heads)
+            alike &= np.logical_and.reduceat(full, heads)
+            for x in halves:
+                alike &= np.minimum.reduceat(x, heads) == np.maximum.reduceat(x, heads)
     mixed = np.flatnonzero(~alike[run]) if len(group) else np.zeros(0, dtype=np.int64)
     for d in range(size):
         if len(group):
@@ -216,12 +239,12 @@ def repeated_windows(data: np.ndarray, offsets: np.ndarray, anchor: np.ndarray,
             places.append((at - offsets[string])[alike[run]] - d)
         some = mixed[(have_left[mixed] >= d) & (have_right[mixed] >= size - d)]
         # d bytes before the symbols and the others after them.
-        own = (right[some] >> np.uint64(8 * d)) | ((left[some] & np.uint64((1 << 8 * d) - 1)) << np.uint64(8 * (size - d)) if d else np.uint64(0))
-        by = np.lexsort((own, run[some]))
-        some, own = some[by], own[by]
+        high, low = _between([x[some] for x in left], [x[some] for x in right], size, d)
+        by = np.lexsort((low, high, run[some]))
+        some, high, low = some[by], high[by], low[by]
         if not len(some):
             continue
-        new = np.concatenate(([True], (run[some][1:] != run[some][:-1]) | (own[1:] != own[:-1])))
+        new = np.concatenate(([True], (run[some][1:] != run[some][:-1]) | (high[1:] != high[:-1]) | (low[1:] != low[:-1])))
         of = np.cumsum(new) - 1
         hit = some[np.bincount(of, weights=times[string[some]])[of] > 1]
         strings.append(string[hit])
@@ -260,6 +283,7 @@ def repeated(pieces: DataFrame, window: int, parts: int) -> DataFrame:
             if len(string):
                 heads, tails = np.flatnonzero(edge[:-1]), np.flatnonzero(edge[1:])
                 yield range_rows(batch, string[heads], place[heads], place[tails] + window)
+        give_back()
 
     return pieces.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(of, RANGES)
 

@@ -80,7 +80,7 @@ def test_order_of_a_collection(monkeypatch, in_memory):
                 assert common[j] == min(6, n)
 
 
-@pytest.mark.parametrize("window", [8, 12, 16, 7])
+@pytest.mark.parametrize("window", [8, 12, 16, 7, 32, 48])
 def test_windows_of_aligned_strings(window):
     rng = random.Random(window)
     for _ in range(30):
@@ -107,5 +107,15 @@ def test_windows_of_aligned_strings(window):
         assert all(total[w] > 1 for i, p, w, _ in every if (i, p) in got)
 
 
+def test_bytes_across_a_boundary():
+    rng = random.Random(1)
+    for size in (1, 2, 4, 8, 16):
+        left, right = (bytes(rng.randrange(256) for _ in range(size)) for _ in range(2))
+        halves = [suffixes._numbers(np.frombuffer(x, dtype=np.uint8), np.array([0]), size) for x in (left, right)]
+        for d in range(size):
+            high, low = suffixes._between(*halves, size, d)
+            assert (int(high[0]) << 64 | int(low[0])).to_bytes(16, "big")[16 - size :] == left[size - d :] + right[: size - d]
+
+
 def test_empty(spark):
     assert suffixes.remove_repeats(frame(spark, [])).collect() == []
