@@ -8,7 +8,9 @@ operations only.
 
 Turns are dealt to blocks of ``BLOCK`` turn numbers.  Positions and prefix
 hashes are computed inside blocks and carried over block totals, so one
-conversation that holds a third of all rows is still many groups.
+conversation that holds a third of all rows is still many groups.  A block with
+more than ``DENSE`` rows, whose turns have few numbers or none, is cut further by
+turn number, role and the text's first letters, which keeps the order.
 
 Defined results: turns are ordered by (turn, role, text), nulls first, and
 count by position, so logs that number turns from 0 or 1 compare alike; a
@@ -25,6 +27,9 @@ from pyspark.sql import functions as F
 from .storage import materialize
 
 BLOCK = 256
+DENSE = 1 << 16
+#: Letters of a text by which dense blocks are cut.
+LETTERS = 4
 TEMPLATE = ("<|", "|>\n", "<|end|>\n")
 
 
@@ -34,8 +39,19 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
     A turn's hash covers its position, so the exclusive-or of two independent
     64-bit hashes over the turns so far identifies the prefix.
     """
-    block = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 40)))
-    rows = turns.select("conv_id", "turn", "role", "text", block.cast("long").alias("block"))
+    rows = turns.select("conv_id", "turn", "role", "text", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 40))).cast("long").alias("b"))
+    dense = rows.groupBy("conv_id", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > DENSE).select("conv_id", "b", F.lit(True).alias("dense"))
+    whole = F.struct("b", F.lit(-(1 << 62)).cast("long").alias("t"), F.lit("").alias("r"), F.lit("").alias("x"))
+    if dense.isEmpty():
+        rows = rows.withColumn("block", whole)
+    else:
+        # Nulls come first, as in the order of turns.
+        first = lambda c: F.coalesce(F.concat(F.lit("1"), c), F.lit("0"))
+        part = F.struct("b", F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 62))).alias("t"), first(F.col("role")).alias("r"), first(F.substring("text", 1, LETTERS)).alias("x"))
+        dense = materialize(dense, "chat-dense")
+        on = F.col("r.conv_id").eqNullSafe(F.col("d.conv_id")) & (F.col("r.b") == F.col("d.b"))
+        rows = rows.alias("r").join(dense.alias("d"), on, "left").select("r.*", "d.dense").withColumn("block", F.when(F.col("dense"), part).otherwise(whole)).drop("dense")
+    rows = rows.drop("b")
     counts = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("conv_id", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("skip"))

@@ -18,12 +18,16 @@ def case():
         rows += [(100 + c, i + c % 2, r, t) for i, (r, t) in enumerate(turns[:cut])]
     rows += [(200, 0, "user", "same")] * 3 + [(201, 0, "user", "same")] * 2 + [(202, None, None, None), (203, 5, None, ""), (None, 0, "user", "no id"), (None, 1, "user", "either")]
     rows += [(300, i, "user", f"t{i}") for i in range(700)] + [(301, i, "user", f"t{i}") for i in range(600)]
+    # Turns without a number, and many with the same one.
+    rows += [(400 + k, n, rng.choice(("user", "assistant", None)), rng.choice(("hello", "help", "he", "h", "", None, "été", "zz"))) for k, n in ((0, None), (1, 7)) for _ in range(40)]
+    rows += [(402, n, r, t) for c, n, r, t in rows if c == 400]
     return rows
 
 
-@pytest.mark.parametrize("block", [256, 2])
-def test_equals_sql(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "dense"), [(256, 1 << 16), (2, 1 << 16), (256, 5), (2, 1)])
+def test_equals_sql(spark, monkeypatch, block, dense):
     monkeypatch.setattr(chat, "BLOCK", block)
+    monkeypatch.setattr(chat, "DENSE", dense)
     rows = case()
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     got = sorted(map(tuple, chat.format_chats(df.selectExpr("*", "1 as pos", "2 as h1", "3 as block")).collect()), key=str)
