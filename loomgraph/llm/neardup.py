@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import BASES, NOT_SPACE, find_words, gram_hashes, group_blocks, list_column, mix, span_hash, text_chunks
+from .bytewords import BASES, NOT_SPACE, find_words, give_back, gram_hashes, group_blocks, list_column, mix, span_hash, text_chunks
 from .components import connected_components
 from .filters import key_filter, may_have
 from .rows import NO_ID, keyed_rows, keyed_texts
@@ -257,6 +257,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
                 values, counts = shingle_sets(c.data, c.offsets, width)
                 rows = slice(c.lo, c.hi)
                 yield pa.RecordBatch.from_arrays([batch.column("did")[rows], batch.column("tid")[rows], pa.array(counts), _binary(set_ids(values, counts)), _binary(signatures(values, counts))], names=["did", "tid", "n", "v", "sig"])
+        give_back()
 
     return keyed_texts(docs).mapInArrow(of, "did long, tid binary, n long, v binary, sig binary")
 
@@ -394,6 +395,7 @@ def spanning(members: DataFrame, percent: int) -> DataFrame:
                 b.append(lo + np.where(swap, x, y))
             yield from tests.pairs(np.concatenate(a), np.concatenate(b))
             yield tests.opened(open_)
+        give_back()
 
     return members.repartition("node").sortWithinPartitions("node", "v").mapInArrow(of, TESTS)
 
@@ -436,6 +438,7 @@ def all_near(members: DataFrame, percent: int) -> DataFrame:
                     # A pair of this block and an earlier one is that one's.
                     near[:, outside[:at]] = False
                     yield from tests.lists(int(node[lo]) ^ (at // HELD), some, near)
+        give_back()
 
     return members.repartition("node").sortWithinPartitions("node", "v").mapInArrow(of, TESTS)
 
@@ -525,6 +528,7 @@ class Links:
                                 us.append(other)
                                 vs.append(v[i])
                 yield pa.RecordBatch.from_arrays([pa.array(us, type=pa.binary()), pa.array(vs, type=pa.binary())], names=["u", "v"])
+            give_back()
 
         new = materialize(ready.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(of, "u binary, v binary"), "near-links")
         known = self.roots

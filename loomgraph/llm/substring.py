@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import BASES, NOT_SPACE, Chunk, cover, find_words, gram_hashes, group_blocks, list_column, sliding_min, span_hash, spans_to_binary, text_chunks
+from .bytewords import BASES, NOT_SPACE, Chunk, cover, find_words, give_back, gram_hashes, group_blocks, list_column, sliding_min, span_hash, spans_to_binary, text_chunks
 from .rows import NO_ID, keyed_texts, partitions
 from .storage import drop, materialize
 
@@ -256,6 +256,7 @@ def ship(texts: DataFrame, finder: Finder) -> DataFrame:
                     yield from held.flush()
         if held.at:
             yield from held.flush()
+        give_back()
 
     return texts.mapInArrow(of, PIECES)
 
@@ -336,6 +337,7 @@ def repeated(pieces: DataFrame, window: int, parts: int) -> DataFrame:
             tails = np.flatnonzero(edge[1:])
             heads, tails = heads[many[heads]], tails[many[heads]]
             yield range_rows(batch, row[heads], place[heads], place[tails] + window)
+        give_back()
 
     return pieces.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(of, RANGES)
 
