@@ -119,3 +119,19 @@ def test_bytes_across_a_boundary():
 
 def test_empty(spark):
     assert suffixes.remove_repeats(frame(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("operator", [substring, suffixes])
+def test_texts_are_cut_once_for_their_keys(spark, monkeypatch, operator):
+    """Keys are counted and joined from a table, not from the texts again."""
+    seen = {}
+    write = substring.materialize
+
+    def noting(df, name, **options):
+        seen[name.split("-", 1)[1]] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name, **options)
+
+    monkeypatch.setattr(substring, "materialize", noting)
+    operator.remove_repeats(frame(spark, documents(4, 30)))
+    assert "MapInArrow" in seen["places"]
+    assert "MapInArrow" not in seen["keys"] and "MapInArrow" not in seen["wanted"]
