@@ -81,3 +81,19 @@ def test_metadata_reads_leave_the_ids(spark):
     plan = rows.select("doc_id", "n_tokens").filter("doc_id > 5")._jdf.queryExecution().executedPlan().toString()
     assert "ids" not in plan.split("ReadSchema")[1].split("\n")[0]
     assert "GreaterThan(doc_id,5)" in plan
+
+
+def test_runs_of_marks_are_encoded_once(monkeypatch):
+    rng = random.Random(8)
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        encoder = tokens.Encoder(f.read())
+    ends = ["", ".", ",\nthen", "$$$", ".%%%", "***\nnext", "'s.", "'", "it's!!", "--'re", "é?!", "日...", "1&&&", "_'s_", "\\]}", "\n###"]
+    texts = [" ".join(f"{chr(97 + rng.randrange(26))}or{chr(97 + rng.randrange(26))}{rng.choice(ends)}" for _ in range(40)) for _ in range(300)]
+    for text in texts:
+        assert encoder.encode(text, False) == encoder.whole(text) + encoder.end, repr(text)
+    calls = []
+    whole = tokens.Encoder.whole
+    monkeypatch.setattr(tokens.Encoder, "whole", lambda self, text: calls.append(text) or whole(self, text))
+    for i in range(500):
+        encoder.encode(f"begin wo{chr(97 + i % 26)}{chr(97 + i // 26)}x$$$ so{chr(97 + i % 26)}{chr(97 + i // 26)}y.%%%", False)
+    assert sum(x != "begin" for x in calls) <= 2
