@@ -97,3 +97,34 @@ def test_runs_of_marks_are_encoded_once(monkeypatch):
     for i in range(500):
         encoder.encode(f"begin wo{chr(97 + i % 26)}{chr(97 + i // 26)}x$$$ so{chr(97 + i % 26)}{chr(97 + i // 26)}y.%%%", False)
     assert sum(x != "begin" for x in calls) <= 2
+
+
+def test_ids_are_lists_of_two_levels(spark, tmp_path):
+    # No group around each id, which takes the writer time for every one.
+    import pyarrow.parquet as pq
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        tokens.write_tokens(frame(spark, documents()), f"file://{tmp_path}/t", f.read())
+    for part in (tmp_path / "t").glob("*.parquet"):
+        ids = pq.ParquetFile(part).schema.column(4)
+        assert (ids.path, ids.max_definition_level, ids.max_repetition_level) == ("ids.array", 2, 1)
+    assert spark.conf.get("spark.sql.parquet.writeLegacyFormat") == "false"
+
+
+def test_repeated_ids_come_in_one_order(spark):
+    rows = [(i % 3 or None, f"text {i % 40}" if i % 7 else None, "a") for i in range(200)]
+    orders = []
+    for n in (1, 5):
+        got = tokens.tokenize_documents(frame(spark, rows).repartition(n)).orderBy("start").collect()
+        orders.append([tuple(r) for r in got])
+    assert orders[0] == orders[1] and len(orders[0]) == 200
+
+
+def test_table_keeps_only_pieces_that_come_again():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        encoder = tokens.Encoder(f.read())
+    lines = ["the first\nagain the", "line.\nAgain a line.\nAgain", "a\n\nb the", "é,\nÉté the\tfirst", "\nthe a", "a the\n"]
+    for text in lines:
+        assert encoder.encode(text, False) == encoder.whole(text) + encoder.end, repr(text)
+    assert "the" in encoder and "first" not in encoder
+    assert "\nAgain" in encoder and not any("\n" in piece[1:] for piece in encoder)
