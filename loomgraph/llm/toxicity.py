@@ -22,12 +22,11 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytewords import LETTERS, find_words, mix, span_hash, text_chunks
+from .bytewords import LETTERS, find_words, give_back, mix, span_hash, text_chunks
 
 BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
@@ -247,9 +246,13 @@ def score(spark, text: Column, machine: Machine) -> Column:
     # Plain values: workers need no class of this library to read them.
     shipped = spark.sparkContext.broadcast(tuple(machine))
 
-    @F.pandas_udf("double")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(Machine(*shipped.value).of_texts(pa.array(texts, type=pa.large_string(), from_pandas=True)))
+    # Arrow's own arrays: no text becomes a Python object.
+    @F.arrow_udf("double")
+    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        machine = Machine(*shipped.value)
+        for column in texts:
+            yield pa.array(machine.of_texts(column))
+        give_back()
 
     return of(text.cast("string"))
 

@@ -3,8 +3,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from loomgraph.llm import toxicity
 
@@ -81,3 +83,16 @@ def test_empty_documents(spark):
     none = spark.createDataFrame([], DOCS)
     labels = spark.createDataFrame([(0, 1, 1)], "doc_id long, quality int, toxic int")
     assert toxicity.clean_documents(none, labels).count() == 0
+
+
+def test_texts_are_scored_as_arrow_has_them(spark):
+    # Python's strings of a batch would take several times its room in a worker.
+    machine = toxicity.Machine(np.arange(toxicity.BUCKETS, dtype=np.int32) % 5, -0.5, np.linspace(-1, 1, 5), np.full((5, 2), 0.1))
+    rows = documents(4)
+    out = frame(spark, rows).select("text", toxicity.score(spark, F.col("text"), machine).alias("s"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}" in next(x for x in plan.splitlines() if "ArrowEvalPython" in x)
+    texts = [r[1] for r in rows]
+    want = dict(zip(texts, machine.of_texts(pa.array(texts)).tolist(), strict=True))
+    got = out.collect()
+    assert len(got) == len(rows) and all(r.s == want[r.text] for r in got)
